@@ -25,20 +25,28 @@ def build_session(app: str = "gridloom", cpus: int | str = "*", **conf: str) ->
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
 
-    Loops call this once per round, so the plan stays short and a lost executor only costs
-    a re-read.  A folder of our own is made only when the session names none and runs in
-    local mode (tests); on a cluster a missing setting is an error.
+    One of our own is made only when the session names none and runs in local mode (tests);
+    on a cluster a missing setting is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder.
+
+    Loops call this once per round, so the plan stays short and a lost executor only costs
+    a re-read.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
