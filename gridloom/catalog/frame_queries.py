@@ -65,7 +65,7 @@ def j09(spark, d):
 
 
 DELTAS = f"""{FRAMES}, md AS (SELECT asset_id, quantile_cont(pivot_x,0.5) AS mpx, quantile_cont(pivot_y,0.5) AS mpy, quantile_cont(w::DOUBLE,0.5) AS mw, quantile_cont(h::DOUBLE,0.5) AS mh, quantile_cont(w/2e0,0.5) AS mcx, quantile_cont(h/2e0,0.5) AS mcy, quantile_cont(duration_ms::DOUBLE,0.5) AS md FROM frames GROUP BY 1),
- dl AS (SELECT asset_id, frame_idx, name, abs(pivot_y-mpy) AS baseline, greatest(abs(pivot_x-mpx),abs(pivot_y-mpy)) AS pivot, greatest(abs(w-mw),abs(h-mh)) AS frame_size, greatest(abs(w/2e0-mcx),abs(h/2e0-mcy)) AS content_center, abs(duration_ms-md) AS duration FROM frames JOIN md USING (asset_id))"""
+ dl AS (SELECT asset_id, frame_idx, name, abs(pivot_y-mpy) AS baseline, greatest(abs(pivot_x-mpx),abs(pivot_y-mpy)) AS "pivot", greatest(abs(w-mw),abs(h-mh)) AS frame_size, greatest(abs(w/2e0-mcx),abs(h/2e0-mcy)) AS content_center, abs(duration_ms-md) AS duration FROM frames JOIN md USING (asset_id))"""
 
 
 @query("a32_stability_deltas", f"WITH {DELTAS} SELECT * FROM dl")
@@ -73,7 +73,7 @@ def a32(spark, d):
     return R.stability_deltas(corpora.frames(spark, d))
 
 
-_ISS = " UNION ALL ".join(f"SELECT asset_id, '{c}' AS code, '{s}' AS severity, '{u}' AS unit, count(*) AS affected, max({k})::DOUBLE AS max_delta FROM dl WHERE {k}>{t} GROUP BY 1" for c, s, k, u, t in (
+_ISS = " UNION ALL ".join(f"""SELECT asset_id, '{c}' AS code, '{s}' AS severity, '{u}' AS unit, count(*) AS affected, max("{k}")::DOUBLE AS max_delta FROM dl WHERE "{k}">{t} GROUP BY 1""" for c, s, k, u, t in (
     ("baseline-drift", "warning", "baseline", "px", 1), ("pivot-drift", "warning", "pivot", "px", 1), ("frame-size-variance", "info", "frame_size", "px", 1),
     ("content-center-drift", "warning", "content_center", "px", 1), ("duration-variance", "info", "duration", "ms", 0)))
 
@@ -83,7 +83,7 @@ def a32i(spark, d):
     return R.stability_issues(R.stability_deltas(corpora.frames(spark, d)))
 
 
-@query("a32_stability_summary", f"WITH {DELTAS} SELECT asset_id, count(*) AS frames, count(*) FILTER (NOT (duration>0 OR greatest(baseline,pivot,frame_size,content_center)>1)) AS stable, max(baseline) AS max_baseline, max(pivot) AS max_pivot, max(frame_size) AS max_frame_size, max(content_center) AS max_content_center, max(duration) AS max_duration FROM dl GROUP BY 1")
+@query("a32_stability_summary", f"""WITH {DELTAS} SELECT asset_id, count(*) AS frames, count(*) FILTER (NOT (duration>0 OR greatest(baseline,"pivot",frame_size,content_center)>1)) AS stable, max(baseline) AS max_baseline, max("pivot") AS max_pivot, max(frame_size) AS max_frame_size, max(content_center) AS max_content_center, max(duration) AS max_duration FROM dl GROUP BY 1""")
 def a32s(spark, d):
     return R.stability_summary(R.stability_deltas(corpora.frames(spark, d)))
 

@@ -50,6 +50,19 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, n
     )
 
 
+def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: Column, name: str) -> DataFrame:
+    """Inclusive running maximum over ``keys`` ordered by ``order``; ``chunk`` must follow that order."""
+    keys = list(keys)
+    d = df.withColumn("__v", value).withColumn("__c", chunk)
+    w = W.partitionBy(*keys).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
+    before = d.groupBy(*keys, "__c").agg(F.max("__v").alias("__t")).withColumn("__before", F.max("__t").over(w)).drop("__t")
+    inside = F.max("__v").over(W.partitionBy(*keys, "__c").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return (
+        d.withColumn("__in", inside).join(before, [*keys, "__c"])
+        .withColumn(name, F.greatest("__before", "__in")).drop("__v", "__c", "__in", "__before")
+    )
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows per key.  Spark limits each map task to ``k`` rows per key before the
     shuffle (WindowGroupLimit), so a hot key ships at most ``k`` rows per task."""
