@@ -23,6 +23,12 @@ PX_TILE = """px_tile AS (
   FROM (SELECT doc_id AS asset_id, x, y, (doc_id*7+(x//4)*3+(y//4)*5)%(3+doc_id%6) AS k
     FROM documents, (SELECT range AS x FROM range(16)), (SELECT range AS y FROM range(16))))"""
 
+PX_SHEET = """px_sheet AS (
+  SELECT asset_id, x, y, y*96+x AS idx, 96::BIGINT AS w, 64::BIGINT AS h, CASE WHEN i THEN (hh*47+23)%256 ELSE 0 END AS r, CASE WHEN i THEN (hh*83+71)%256 ELSE 0 END AS g,
+    CASE WHEN i THEN (hh*131+113)%256 ELSE 0 END AS b, (CASE WHEN i THEN 255 ELSE 0 END)::BIGINT AS a
+  FROM (SELECT asset_id, x, y, (asset_id*31+c*7+rw*13)%11 AS hh, x>=2 AND c<3+(asset_id+rw)%2 AND x>=c*22+4+(asset_id*7+c*3+rw*5)%3 AND x<c*22+4+(asset_id*7+c*3+rw*5)%3+13+(asset_id+c)%4 AND y>=rw*30+5 AND y<rw*30+5+16+(asset_id+rw)%5 AS i
+    FROM (SELECT s_suppkey AS asset_id, x, y, CASE WHEN y<32 THEN 0 ELSE 1 END AS rw, (x-2)//22 AS c FROM supplier, (SELECT range AS x FROM range(96)), (SELECT range AS y FROM range(64)))))"""
+
 FRAMES = """frames AS (
   SELECT l_orderkey AS asset_id,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)-1 AS frame_idx,

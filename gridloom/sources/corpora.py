@@ -81,6 +81,25 @@ def px_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.select(*PIXEL_COLUMNS)
 
 
+def px_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """96x64 sprite sheets, one per supplier: two row bands of three or four drifting cells."""
+    base = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asset_id"))
+    side = F.lit(0).cast("long")
+    px = base.withColumn("y", F.explode(F.sequence(side, F.lit(63).cast("long")))).withColumn("x", F.explode(F.sequence(side, F.lit(95).cast("long"))))
+    k, x, y = F.col("asset_id"), F.col("x"), F.col("y")
+    row = F.when(y < 32, 0).otherwise(1)
+    col = F.floor((x - 2) / 22)
+    left = col * 22 + 4 + (k * 7 + col * 3 + row * 5) % 3
+    top = row * 30 + 5
+    inside = (
+        (x >= 2) & (col < (k + row) % 2 + 3) & (x >= left) & (x < left + (k + col) % 4 + 13) & (y >= top) & (y < top + (k + row) % 5 + 16))
+    h = (k * 31 + col * 7 + row * 13) % 11
+    paint = lambda m, c: F.when(inside, (h * m + c) % 256).otherwise(0).cast("long")
+    return px.select(
+        "asset_id", (y * 96 + x).alias("idx"), "x", "y", F.lit(96).cast("long").alias("w"), F.lit(64).cast("long").alias("h"),
+        paint(47, 23).alias("r"), paint(83, 71).alias("g"), paint(131, 113).alias("b"), F.when(inside, 255).otherwise(0).cast("long").alias("a"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sprite frames, one per order line; duplicate names occur by design.
 
