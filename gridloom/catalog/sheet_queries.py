@@ -8,6 +8,7 @@ from gridloom.catalog.frame_queries import CF, FX, ROWS, fx, rows as frame_rows
 from gridloom.operators import frame_edits as E
 from gridloom.operators import frames as R
 from gridloom.operators import sheets as S
+from gridloom.session import cut_lineage
 from gridloom.sources import corpora
 from gridloom.sources.tables import table
 
@@ -74,7 +75,7 @@ def h02(spark, d):
     seg = S.segments(fg, S.row_bands(fg))
     parts = seg.withColumn("p", F.explode(F.array(F.struct(F.col("x").alias("x"), F.floor(F.col("w") / 2 - 1).alias("w")), F.struct((F.col("x") + F.floor(F.col("w") / 2) + 1).alias("x"), F.floor(F.col("w") / 2 - 1).alias("w")))))
     r = S.row_arrays(parts.select("asset_id", "row", "p.x", "p.w")).withColumn("img_w", F.lit(96).cast("long"))
-    out = S.fit_drift(S.merge_groups(S.merge_effects(r)))
+    out = S.fit_drift(cut_lineage(S.merge_groups(cut_lineage(S.merge_effects(cut_lineage(r))))))
     return out.select("asset_id", "row", "merged_count", "drift", F.to_json("s").alias("segments"))
 
 
