@@ -152,10 +152,10 @@ def h13f(spark, d):
     return E.fill_sparse_rows(frame_rows(spark, d))
 
 
-@query("h13_row_insert_remove", f"""WITH {FRAMES}, {ROWS}, l AS (SELECT asset_id, max(row) AS last FROM rw GROUP BY 1), e AS (SELECT asset_id, last, ['insert_before','insert_after','remove','none'][1+asset_id%4] AS op, asset_id%2 AS at FROM l),
- j AS (SELECT rw.*, op, at, last FROM rw JOIN e USING (asset_id))
- SELECT asset_id, row+CASE WHEN op='insert_before' AND row>=at THEN 1 WHEN op='insert_after' AND row>=at+1 THEN 1 WHEN op='remove' AND row>at AND last>0 THEN -1 ELSE 0 END AS row, col, name FROM j WHERE NOT (op='remove' AND row=at AND last>0)
- UNION ALL SELECT asset_id, at+CASE WHEN op='insert_after' THEN 1 ELSE 0 END, 0, 'row_'||(last+2)||'_000' FROM j WHERE op LIKE 'insert%' AND row=at AND col=0""")
+@query("h13_row_insert_remove", f"""WITH {FRAMES}, {ROWS}, l AS (SELECT asset_id, max(row) AS last FROM rw GROUP BY 1), e AS (SELECT asset_id, last, ['insert_before','insert_after','remove','none'][1+asset_id%4] AS op, asset_id%2 AS at_ FROM l),
+ j AS (SELECT rw.*, op, at_, last FROM rw JOIN e USING (asset_id))
+ SELECT asset_id, row+CASE WHEN op='insert_before' AND row>=at_ THEN 1 WHEN op='insert_after' AND row>=at_+1 THEN 1 WHEN op='remove' AND row>at_ AND last>0 THEN -1 ELSE 0 END AS row, col, name FROM j WHERE NOT (op='remove' AND row=at_ AND last>0)
+ UNION ALL SELECT asset_id, at_+CASE WHEN op='insert_after' THEN 1 ELSE 0 END, 0, 'row_'||(last+2)||'_000' FROM j WHERE op LIKE 'insert%' AND row=at_ AND col=0""")
 def h13r(spark, d):
     r = frame_rows(spark, d)
     ops = F.array(*[F.lit(v) for v in ("insert_before", "insert_after", "remove")])
