@@ -12,7 +12,7 @@ from gridloom.session import build_session  # noqa: E402
 
 HEADLINE = [
     "j01_nearest_palette_usage", "j01_remap_pixels", "a01_exact_histogram", "a03_frequency_palette", "a10_downsample_dominant", "a11_downsample_median",
-    "w02_edge_profile", "x01_grid_candidates", "a09_sprite_bounds", "x08_morphology_8", "h07_tilemap_summary", "a25_seam_summary", "a32_stability_summary",
+    "w02_edge_profile", "x01_grid_candidates", "a09_sprite_bounds", "h07_tilemap_summary", "a25_seam_summary", "a32_stability_summary",
     "s08_atlas_json", "a34_validation_summary", "m02_job_state",
 ]
 PIXELS_PER_PART = 24 * 24
@@ -30,6 +30,7 @@ def main() -> None:
         start = time.perf_counter()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     total = round(sum(times.values()), 3)
     pixels = parts * PIXELS_PER_PART
     rate = {n: round(pixels / times[n] / 1e6, 2) for n in ("j01_remap_pixels", "a10_downsample_dominant", "x01_grid_candidates", "a01_exact_histogram")}

@@ -20,9 +20,17 @@ def _div(a: Column, b: Column | int) -> Column:
     return F.floor(a / (F.lit(b) if isinstance(b, int) else b)).cast("long")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Deal the few seed rows over all cores before each becomes hundreds of pixels.
+
+    Round robin on purpose: hashing by asset would tie all later work on a large asset to one task.
+    """
+    return df.repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def _grid(df: DataFrame, side: int) -> DataFrame:
     return (
-        df.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side * side - 1).cast("long"))))
+        _spread(df).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side * side - 1).cast("long"))))
         .withColumn("x", F.col("idx") % side)
         .withColumn("y", F.shiftright("idx", side.bit_length() - 1) if side & (side - 1) == 0
                     else _div(F.col("idx"), side))
@@ -52,8 +60,8 @@ def px_part(spark: SparkSession, sf_dir: str, with_scale: bool = False) -> DataF
 
 def px_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8x8 opaque rasters, one per embedding."""
-    e = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("asset_id"), F.posexplode("embedding").alias("pos", "value")
+    e = _spread(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("asset_id"), "embedding")).select(
+        "asset_id", F.posexplode("embedding").alias("pos", "value")
     )
     m = F.col("value").cast("double") * 1000.0
     v = F.least(F.lit(255), F.floor(m - F.floor(m / 256.0) * 256.0)).cast("long")
@@ -83,7 +91,7 @@ def px_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def px_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """96x64 sprite sheets, one per supplier: two row bands of three or four drifting cells."""
-    base = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asset_id"))
+    base = _spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asset_id")))
     side = F.lit(0).cast("long")
     px = base.withColumn("y", F.explode(F.sequence(side, F.lit(63).cast("long")))).withColumn("x", F.explode(F.sequence(side, F.lit(95).cast("long"))))
     k, x, y = F.col("asset_id"), F.col("x"), F.col("y")
