@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import html_extract, language_id, line_dedup, packing, partenum, quality_classifier, quality_rules, simple8b, toxicity
+from gridloom.llm import decontamination, html_extract, language_id, line_dedup, packing, partenum, quality_classifier, quality_rules, simple8b, toxicity
 from gridloom.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,25 @@ r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.roo
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.root) AS component_id
 FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), threshold=0.8)
+
+
+# Every window that shares a shingle with an item, compared in full.
+ORACLES["op7_benchmark_decontamination"] = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark),
+d AS (SELECT doc_id, i - 1 AS pos, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM dw WHERE len(ws) >= 5)),
+b AS (SELECT item_id, i - 1 AS pos, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT item_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM iw WHERE len(ws) >= 5)),
+m AS (SELECT item_id, count(*) AS m FROM b GROUP BY item_id),
+bc AS (SELECT item_id, g, count(*) AS n FROM b GROUP BY ALL),
+top AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+c AS (SELECT DISTINCT d.doc_id, b.item_id, unnest(generate_series(d.pos - m.m + 1, d.pos)) AS at FROM d JOIN b ON d.g = b.g JOIN m ON m.item_id = b.item_id),
+w AS (SELECT c.doc_id, c.item_id, c.at, d.g, count(*) AS n FROM c JOIN m ON m.item_id = c.item_id JOIN d ON d.doc_id = c.doc_id AND d.pos >= c.at AND d.pos < c.at + m.m GROUP BY ALL),
+s AS (SELECT w.doc_id, w.item_id, w.at, sum(w.n) AS a, sum(coalesce(least(w.n, bc.n), 0)) AS both FROM w LEFT JOIN bc ON bc.item_id = w.item_id AND bc.g = w.g GROUP BY ALL),
+r AS (SELECT s.doc_id, s.item_id, m.m AS n_shingles, greatest(s.at, 0) AS start, CAST(s.both AS DOUBLE) / CAST(s.a + m.m - s.both AS DOUBLE) AS similarity FROM s JOIN m ON m.item_id = s.item_id)
+SELECT doc_id, item_id, n_shingles, CAST(arg_min(start, (-similarity, start)) AS BIGINT) AS start, max(similarity) AS similarity FROM r WHERE similarity >= 0.8 GROUP BY doc_id, item_id, n_shingles
+"""
