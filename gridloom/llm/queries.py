@@ -112,5 +112,5 @@ c AS (SELECT DISTINCT d.doc_id, b.item_id, unnest(generate_series(d.pos - m.m +
 w AS (SELECT c.doc_id, c.item_id, c.at, d.g, count(*) AS n FROM c JOIN m ON m.item_id = c.item_id JOIN d ON d.doc_id = c.doc_id AND d.pos >= c.at AND d.pos < c.at + m.m GROUP BY ALL),
 s AS (SELECT w.doc_id, w.item_id, w.at, sum(w.n) AS a, sum(coalesce(least(w.n, bc.n), 0)) AS both FROM w LEFT JOIN bc ON bc.item_id = w.item_id AND bc.g = w.g GROUP BY ALL),
 r AS (SELECT s.doc_id, s.item_id, m.m AS n_shingles, greatest(s.at, 0) AS start, CAST(s.both AS DOUBLE) / CAST(s.a + m.m - s.both AS DOUBLE) AS similarity FROM s JOIN m ON m.item_id = s.item_id)
-SELECT doc_id, item_id, n_shingles, CAST(arg_min(start, (-similarity, start)) AS BIGINT) AS start, max(similarity) AS similarity FROM r WHERE similarity >= 0.8 GROUP BY doc_id, item_id, n_shingles
+SELECT doc_id, item_id, n_shingles, CAST(start AS BIGINT) AS start, similarity FROM r WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
