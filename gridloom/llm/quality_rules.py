@@ -12,12 +12,14 @@ One map over the documents: no shuffle, one bounded run of texts in memory at a
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridloom.llm.rows import map_texts, text_rows
+from gridloom.llm.rows import bundles, map_texts, text_rows
 from gridloom.llm.textkit import BASE, mix
 
 # Largest share of word characters inside repeated windows, by words in a window.
@@ -143,3 +145,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
 
 CONTRACT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns: one map, no shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            kept = [measure(list(range(len(part))), part)["kept"] for _, part in bundles(texts)]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(run, docs.schema)
