@@ -95,7 +95,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
     Texts and items under five words, null or empty ones hold nothing and are found nowhere. Items with
     equal texts are reported one by one, repeated rows once. Other columns are ignored.
     """
-    bench = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    bench = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    # An item's key holds for null ids and keeps different texts with one id apart.
+    bench = bench.withColumn("item", F.struct(F.coalesce("item_id", F.lit(-(1 << 63))).alias("i"), F.xxhash64("text").alias("t")))
     bench = settle(with_shingles(bench).where("size(sh) > 0"), "items")
     kind = F.coalesce(*[F.when(F.size("sh") >= least, F.lit(i)) for i, (_, _, least) in enumerate(CLASSES)])
     used = sorted(r[0] for r in bench.select(kind).distinct().collect())  # at most one row per class
@@ -106,9 +108,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
     item_windows = None
     for i in used:
         size = CLASSES[i][0]
-        part = bench.where(kind == i).select("item_id", F.size("sh").alias("m"), F.explode(_windows(size, 1)).alias("e")).select("item_id", "m", "e.*")
+        part = bench.where(kind == i).select("item", F.size("sh").alias("m"), F.explode(_windows(size, 1)).alias("e")).select("item", "m", "e.*")
         item_windows = part if item_windows is None else item_windows.unionByName(part)
-    index = _blocks(_fingerprint(item_windows)).select("key", F.col("fp").alias("item_fp"), "item_id", "m", F.col("start").alias("offset"))
+    index = _blocks(_fingerprint(item_windows)).select("key", F.col("fp").alias("item_fp"), "item", "m", F.col("start").alias("offset"))
     index = settle(index, "item-index")
     if index.count() <= INDEX_ROWS:
         index = F.broadcast(index)
@@ -116,15 +118,15 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
     every = F.concat(*[F.coalesce(_windows(*CLASSES[i][:2]), F.array().cast("array<struct<size:int,start:int,w:array<bigint>>>")) for i in used])
     windows = with_shingles(source).select("doc_id", "_id", "_tx", F.explode(every).alias("e")).select("doc_id", "_id", "_tx", "e.*")
     near = _blocks(_fingerprint(windows)).join(index, "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    hits = settle(near.select("doc_id", "_id", "_tx", "item_id", "m", (F.col("start") - F.col("offset")).alias("at")).distinct(), "candidates")
+    hits = settle(near.select("doc_id", "_id", "_tx", "item", "m", (F.col("start") - F.col("offset")).alias("at")).distinct(), "candidates")
 
     slack = F.ceil(F.col("m") / 9).cast("int")
-    starts = hits.select("doc_id", "_id", "_tx", "item_id", "m", F.explode(F.sequence(F.col("at") - slack, F.col("at") + slack)).alias("at")).distinct()
+    starts = hits.select("doc_id", "_id", "_tx", "item", "m", F.explode(F.sequence(F.col("at") - slack, F.col("at") + slack)).alias("at")).distinct()
     texts = with_shingles(source.drop("doc_id").join(hits.select("_id", "_tx").distinct(), ["_id", "_tx"], "left_semi").distinct())
     low = F.greatest(F.col("at"), F.lit(0))
     size = F.least(F.col("at") + F.col("m"), F.size("sh")) - low
-    placed = starts.join(texts, ["_id", "_tx"]).where(size > 0).select("doc_id", "item_id", low.alias("start"), F.slice("sh", low + 1, size).alias("a"))
-    scored = placed.join(bench.withColumnRenamed("sh", "b"), "item_id").where(F.size("a") * 1.0 >= threshold * F.size("b"))
+    placed = starts.join(texts, ["_id", "_tx"]).where(size > 0).select("doc_id", "item", low.alias("start"), F.slice("sh", low + 1, size).alias("a"))
+    scored = placed.join(bench.withColumnRenamed("sh", "b"), "item").where(F.size("a") * 1.0 >= threshold * F.size("b"))
     scored = scored.select("doc_id", "item_id", F.size("b").cast("long").alias("n_shingles"), F.col("start").cast("long").alias("start"), _similarity(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("first")))
     return scored.groupBy("doc_id", "item_id", "n_shingles").agg(best.alias("best")).select("doc_id", "item_id", "n_shingles", (-F.col("best.first")).alias("start"), F.col("best.similarity").alias("similarity"))

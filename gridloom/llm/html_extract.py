@@ -42,6 +42,8 @@ FURNITURE = re.compile(
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry\w*|main\w*|page|post\w*|story|text|blog)(?=$|[\s_-])", re.I)
 # Share of the best score that a sibling needs, and the smallest such score.
 SIBLING_SHARE, SIBLING_LEAST = 0.2, 10.0
+# Containers that are menus when more than this share of their characters is linked.
+LISTS, LINK_LIST = frozenset("ul ol dl div section table".split()), 0.6
 
 
 class Node:
@@ -166,7 +168,7 @@ def _walk(root: Node) -> list[Node]:
 
 
 def blocks(node: Node) -> list[str]:
-    """Texts of the blocks below ``node`` in page order, white space collapsed."""
+    """Texts of the blocks below ``node`` in page order, white space collapsed; lists of links are menus and left out."""
     out: list[str] = []
     held: list[str] = []
 
@@ -185,6 +187,8 @@ def blocks(node: Node) -> list[str]:
             held.append(k)
         elif k.tag == "br":
             held.append(" ")
+        elif k is not node and k.tag in LISTS and k.linked and _density(k) > LINK_LIST:
+            continue
         else:
             if k.tag in BLOCK:
                 flush()
