@@ -9,8 +9,8 @@ passage meets an item window word for word wherever it starts.
 Fingerprints within ``RADIUS`` bits agree on at least one of ``RADIUS + 1`` blocks of bits; the
 index holds every item window under each of its blocks, so no pair within the radius is missed.
 Candidates say where in the document the item would start. There, and up to a ninth of the item's
-length to either side, the item-sized window is compared with the item by weighted Jaccard
-similarity, the weight of a shingle being how often it occurs.
+length to either side, the item-sized window (the whole text, if that is shorter) is compared with
+the item by weighted Jaccard similarity, the weight of a shingle being how often it occurs.
 
 Any window with a similarity of 0.8 keeps an unbroken run of shingles that holds a whole aligned
 window of its class, so for that threshold the search loses nothing.
@@ -123,9 +123,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
     slack = F.ceil(F.col("m") / 9).cast("int")
     starts = hits.select("doc_id", "_id", "_tx", "item", "m", F.explode(F.sequence(F.col("at") - slack, F.col("at") + slack)).alias("at")).distinct()
     texts = with_shingles(source.drop("doc_id").join(hits.select("_id", "_tx").distinct(), ["_id", "_tx"], "left_semi").distinct())
-    low = F.greatest(F.col("at"), F.lit(0))
-    size = F.least(F.col("at") + F.col("m"), F.size("sh")) - low
-    placed = starts.join(texts, ["_id", "_tx"]).where(size > 0).select("doc_id", "item", low.alias("start"), F.slice("sh", low + 1, size).alias("a"))
+    low = F.greatest(F.least(F.col("at"), F.size("sh") - F.col("m")), F.lit(0))
+    placed = starts.join(texts, ["_id", "_tx"]).select("doc_id", "item", low.alias("start"), F.slice("sh", low + 1, F.col("m")).alias("a"))
     scored = placed.join(bench.withColumnRenamed("sh", "b"), "item").where(F.size("a") * 1.0 >= threshold * F.size("b"))
     scored = scored.select("doc_id", "item_id", F.size("b").cast("long").alias("n_shingles"), F.col("start").cast("long").alias("start"), _similarity(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("first")))

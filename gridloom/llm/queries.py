@@ -108,9 +108,9 @@ b AS (SELECT item_id, i - 1 AS pos, array_to_string(ws[i:i + 4], ' ') AS g FROM
 m AS (SELECT item_id, count(*) AS m FROM b GROUP BY item_id),
 bc AS (SELECT item_id, g, count(*) AS n FROM b GROUP BY ALL),
 top AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
-c AS (SELECT DISTINCT d.doc_id, b.item_id, unnest(generate_series(d.pos - m.m + 1, d.pos)) AS at FROM d JOIN b ON d.g = b.g JOIN m ON m.item_id = b.item_id),
+c AS (SELECT DISTINCT d.doc_id, b.item_id, greatest(least(unnest(generate_series(d.pos - m.m + 1, d.pos)), top.n - m.m), 0) AS at FROM d JOIN b ON d.g = b.g JOIN m ON m.item_id = b.item_id JOIN top ON top.doc_id = d.doc_id),
 w AS (SELECT c.doc_id, c.item_id, c.at, d.g, count(*) AS n FROM c JOIN m ON m.item_id = c.item_id JOIN d ON d.doc_id = c.doc_id AND d.pos >= c.at AND d.pos < c.at + m.m GROUP BY ALL),
 s AS (SELECT w.doc_id, w.item_id, w.at, sum(w.n) AS a, sum(least(w.n, coalesce(bc.n, 0))) AS both FROM w LEFT JOIN bc ON bc.item_id = w.item_id AND bc.g = w.g GROUP BY ALL),
-r AS (SELECT s.doc_id, s.item_id, m.m AS n_shingles, greatest(s.at, 0) AS start, CAST(s.both AS DOUBLE) / CAST(s.a + m.m - s.both AS DOUBLE) AS similarity FROM s JOIN m ON m.item_id = s.item_id)
+r AS (SELECT s.doc_id, s.item_id, m.m AS n_shingles, s.at AS start, CAST(s.both AS DOUBLE) / CAST(s.a + m.m - s.both AS DOUBLE) AS similarity FROM s JOIN m ON m.item_id = s.item_id)
 SELECT doc_id, item_id, n_shingles, CAST(start AS BIGINT) AS start, similarity FROM r WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
