@@ -3,16 +3,21 @@
 Documents are sets of word shingles. Set sizes fall into bands ``[l, r]`` with ``r = l / t`` for the
 threshold ``t``, so two sets that link lie in one band or in neighbouring ones; a set is entered for
 its own band and for the next. Inside a band two linked sets differ in at most ``k`` elements.
-The element domain is split by hash into ``n1`` parts with ``n1 * (K2 + 1) > k`` and each part into
-``N2`` sub-parts: in some part the sets differ in at most ``K2`` elements, so they agree on at
-least ``N2 - K2`` of its sub-parts. Each choice of ``N2 - K2`` sub-parts of a part gives one signature, a
-hash of all elements inside, and linked sets share at least one. No set is left out at any size.
-
-Equal sets are one node. Sets that share a signature are not paired off with each other: each
-bucket first offers only its smallest member as a partner for the rest. Verified links make
-components, and further members are offered, in blocks that double, only to sets that still are in
-another component, until no bucket holds two components with an untried pair. The components are
-those of all links.
+The element domain is split by hash into ``n1`` parts and each part into ``N2`` sub-parts. At most
+``k / (K2 + 1)`` parts hold more than ``K2`` differing elements; in any other part the sets agree on at
+least ``N2 - K2`` sub-parts. Each choice of ``N2 - K2`` sub-parts of a part gives one signature, a hash of
+all elements inside, and linked sets share at least one. No set is left out at any size.
+
+A signature without elements says little and would gather many sets. There are a few parts more
+than needed, so nearly every set has more parts with elements in all choices than linked sets can
+differ in: two such sets share a signature with elements. Only a set with fewer (a *poor* one) is
+also met on signatures without elements.
+
+Equal sets are one node. Sets that share a signature are not paired off with each other: each set
+first meets one partner, the member that shares most signatures with others. Verified links make
+components; then members are offered, in blocks that double, only to sets that still are in another
+component, until no bucket holds two components with an untried pair. The components are those of
+all links.
 """
 
 from __future__ import annotations
@@ -20,14 +25,17 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.rows import map_texts, settle, text_rows
+from gridloom.llm.rows import map_texts, settle, text_rows, unless_large
 from gridloom.llm.textkit import mix, shingles, words
 
-N2, K2 = 3, 1
+N2, K2 = 2, 1
+# Parts beyond those needed, as a share.
+SPARE = 0.05
+STRONG, WEAK, POOR = 0, 1, 2
 _U = np.uint64
 
 
@@ -52,24 +60,32 @@ class Scheme:
         return 2 * self.ends[band] * (self.den - self.num) // (self.den + self.num)
 
 
-def signatures(elements: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """Signatures of one set of distinct 64-bit elements."""
-    out = []
+def signatures(elements: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set of distinct 64-bit elements, and the role of each."""
+    out, roles = [], []
     own = scheme.band(len(elements))
     place, values = mix(elements ^ _U(0x5851F42D4C957F2D)), mix(elements + _U(0x14057B7EF767814F))
     for band in (own, own + 1):
         k = scheme.differ(band)
         if k == 0:  # only equal sets link, and those are one node already
             continue
-        n1 = -(-(k + 1) // (K2 + 1))
+        need = k // (K2 + 1) + 1
+        n1 = need + int(SPARE * need) + 1
         cell = ((place >> _U(33)) % _U(n1)).astype(np.int64) * N2 + ((place & _U(0xFFFFFFFF)) % _U(N2)).astype(np.int64)
         sums = np.zeros(n1 * N2, _U)
         np.add.at(sums, cell, values)
         sums = mix(sums + np.arange(n1 * N2, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(1)).reshape(n1, N2)
+        held = np.bincount(cell, minlength=n1 * N2).reshape(n1, N2)
+        empty = []
         for chosen in combinations(range(N2), N2 - K2):
             salt = _U((band << 8) + sum(1 << c for c in chosen))
             out.append(mix(sums[:, list(chosen)].sum(axis=1, dtype=_U) ^ mix(np.array([salt]))))
-    return np.concatenate(out) if out else np.zeros(0, _U)
+            empty.append(held[:, list(chosen)].sum(axis=1) == 0)
+        poor = (~np.array(empty)).all(axis=0).sum() < need
+        roles += [np.where(e, POOR if poor else WEAK, STRONG) for e in empty]
+    if not out:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    return np.concatenate(out), np.concatenate(roles)
 
 
 def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
@@ -92,18 +108,29 @@ def _signed(v: np.ndarray) -> np.ndarray:
 
 
 class _Sketch:
-    """Set size, a 128-bit digest of the set, and its signatures."""
+    """Set size and a 128-bit digest of the set."""
 
-    def __init__(self, k: int, num: int, den: int):
-        self.k, self.num, self.den = k, num, den
+    def __init__(self, k: int):
+        self.k = k
 
     def __call__(self, ids: list, texts: list) -> dict:
-        scheme = Scheme(self.num, self.den)
         sets = shingle_sets([t or "" for t in texts], self.k)
         sums = [(mix(s).sum(dtype=_U), mix(s ^ _U(0xA0761D6478BD642F)).sum(dtype=_U)) for s in sets]
         both = _signed(np.array(sums, _U).reshape(-1, 2))
-        sigs = [_signed(signatures(s, scheme)) if len(s) else np.zeros(0, np.int64) for s in sets]
-        return {"doc_id": ids, "n": [len(s) for s in sets], "h1": both[:, 0], "h2": both[:, 1], "sigs": sigs}
+        return {"row": ids, "n": [len(s) for s in sets], "h1": both[:, 0], "h2": both[:, 1]}
+
+
+class _Entries:
+    """One row per signature."""
+
+    def __init__(self, k: int, num: int, den: int):
+        self.k, self.num, self.den = k, num, den
+
+    def __call__(self, ids: list, texts: list) -> dict:
+        scheme = Scheme(self.num, self.den)
+        made = [signatures(s, scheme) for s in shingle_sets([t or "" for t in texts], self.k)]
+        reps = np.repeat(np.array([i["doc_id"] for i in ids], np.int64), [len(m[0]) for m in made])
+        return {"rep": reps, "sig": _signed(np.concatenate([m[0] for m in made])), "role": np.concatenate([m[1] for m in made]).astype(np.int8)}
 
 
 class _Elements:
@@ -111,54 +138,77 @@ class _Elements:
         self.k = k
 
     def __call__(self, ids: list, texts: list) -> dict:
-        return {"doc_id": ids, "els": [_signed(s) for s in shingle_sets([t or "" for t in texts], self.k)]}
+        return {"doc_id": [i["doc_id"] for i in ids], "els": [_signed(s) for s in shingle_sets([t or "" for t in texts], self.k)]}
+
+
+def _fits(a: str, b: str, num: int, den: int) -> Column:
+    """Sizes that sets above the threshold can have."""
+    return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs ``a, b`` whose sets link: ``den * |A and B| >= num * |A or B|``."""
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("els").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("els").alias("y"))
-    # Sizes are checked before sets are compared.
-    near = pairs.join(one, "a").join(two, "b").where((F.size("x") * den >= F.size("y") * num) & (F.size("y") * den >= F.size("x") * num))
     both = F.size(F.array_intersect("x", "y"))
-    return near.where(both * den >= (F.size("x") + F.size("y") - both) * num).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(both * den >= (F.size("x") + F.size("y") - both) * num).select("a", "b").distinct()
 
 
 def similar_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per input row.
 
     Null, empty and blank texts have the empty set and link with nothing: their component is their
-    own id. Rows with equal ids and texts get equal results. Other columns are ignored.
+    own id. Rows with equal ids are one document and share a component. Rows without an id link with
+    equal sets only. Other columns are ignored.
     """
-    sketched = settle(map_texts(text_rows(docs), _Sketch(k, num, den), "doc_id long, n long, h1 long, h2 long, sigs array<long>"), "sketches")
+    rows = text_rows(docs).select(F.struct("doc_id", F.xxhash64("text").alias("tx")).alias("doc_id"), "text")
+    sketched = settle(map_texts(rows, _Sketch(k), "row struct<doc_id: long, tx: long>, n long, h1 long, h2 long").select("row.*", "n", "h1", "h2"), "sketches")
     some = sketched.where("n > 0")
-    # Equal sets have equal signatures, so any copy's will do; copies are merged before the shuffle.
-    nodes = settle(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs")), "nodes")
-    entries = nodes.select("rep", F.explode("sigs").alias("sig"))
+    # Copies are counted before the shuffle; their first stands for all.
+    nodes = settle(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "nodes")
+    copies = some.join(nodes.where("copies > 1"), ["h1", "h2", "n"]).where("doc_id <> rep").select("doc_id", "tx").distinct()
+    keyed = rows.where("doc_id.doc_id IS NOT NULL").select("doc_id.*", "text")
+    firsts = keyed.join(unless_large(settle(copies, "copies")), ["doc_id", "tx"], "left_anti").select(F.struct("doc_id", "tx").alias("doc_id"), "text")
+    entries = map_texts(firsts, _Entries(k, num, den), "rep long, sig long, role tinyint")
     bucket = Window.partitionBy("sig")
-    shared = entries.withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1")
-    shared = settle(shared.withColumn("pos", F.row_number().over(bucket.orderBy("rep"))).select("sig", "rep", "pos", "size"), "buckets")
-
-    involved = shared.select(F.col("rep").alias("doc_id")).distinct()
-    sets = settle(map_texts(text_rows(docs).join(involved, "doc_id", "left_semi"), _Elements(k), "doc_id long, els array<long>"), "sets")
-
-    label = shared.select(F.col("rep").alias("node")).distinct().withColumn("component", F.col("node"))
-    edges, low, high = None, 1, 1
+    counted = entries.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("most", F.max("role").over(bucket))
+    shared = settle(counted.where(F.col("size") > 1).where(F.col("most") != WEAK).select("sig", "rep", "role", "size"), "buckets")
+
+    sizes = nodes.where("rep IS NOT NULL").groupBy("rep").agg(F.max("n").alias("n"))
+    degree = shared.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("degree"))
+    members = settle(degree.join(sizes, "rep"), "members")
+    involved = unless_large(members.select(F.col("rep").alias("doc_id")))
+    sets = settle(map_texts(keyed.join(involved, "doc_id", "left_semi").select(F.struct("doc_id", "tx").alias("doc_id"), "text"), _Elements(k), "doc_id long, els array<long>"), "sets")
+
+    # Poor sets come first where elements lack: a bucket's offers are its first members.
+    offering = F.col("role") != WEAK
+    first = bucket.orderBy(~offering, F.desc("degree"), "rep")
+    ranked = shared.join(members, "rep").withColumn("pos", F.row_number().over(first)).withColumn("offers", F.sum(offering.cast("int")).over(bucket))
+    for c in ("rep", "n", "degree"):
+        ranked = ranked.withColumn(f"top_{c}", F.first(c).over(first))
+    ranked = settle(ranked, "ranked")
+    partner = F.max(F.struct("top_degree", "top_rep")).alias("p")
+    pairs = ranked.where("pos > 1").where(_fits("n", "top_n", num, den)).groupBy(F.col("rep").alias("b")).agg(partner).select(F.col("p.top_rep").alias("a"), "b")
+    edges = settle(_verify(pairs, sets, num, den), "links")
+
+    live = ranked.select("sig", "rep", "n", "pos", "size", "offers")
+    label = members.select(F.col("rep").alias("node"))
+    low, high = 1, 1
     while True:
-        tagged = shared.join(label.withColumnRenamed("node", "rep"), "rep")
+        label = settle(label.select("node").join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+        tagged = live.join(label.withColumnRenamed("node", "rep"), "rep")
         mixed = tagged.withColumn("least", F.min("component").over(bucket)).withColumn("most", F.max("component").over(bucket))
-        open_rows = settle(mixed.where((F.col("least") < F.col("most")) & (F.col("size") > low)).drop("least", "most"), "open")
+        # A bucket with one component stays so.
+        open_rows = settle(mixed.where("least < most").where((F.col("size") > low) & (F.col("offers") >= low)).drop("least", "most"), "open")
         if open_rows.isEmpty():
             break
-        offer = open_rows.where(F.col("pos").between(low, high)).select("sig", F.col("rep").alias("a"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-        meet = open_rows.select("sig", F.col("rep").alias("b"), F.col("pos").alias("pb"), F.col("component").alias("cb")).join(offer, "sig")
-        pairs = settle(meet.where("pb > pa AND ca <> cb").select("a", "b").distinct(), "pairs")
-        found = _verify(pairs, sets, num, den)
-        edges = settle(found if edges is None else edges.unionByName(found), "links")
-        label = label.select("node").join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        label = settle(label, "labels")
+        offer = open_rows.where(F.col("pos").between(low, high) & (F.col("pos") <= F.col("offers"))).select("sig", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
+        meet = open_rows.select("sig", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb")).join(offer, "sig")
+        pairs = settle(meet.where("pb > pa AND ca <> cb").where(_fits("na", "nb", num, den)).select("a", "b").distinct(), "pairs")
+        edges = settle(edges.unionByName(_verify(pairs, sets, num, den)), "links")
+        live = open_rows.drop("component")
         low, high = high + 1, 2 * high + 1
 
     reps = nodes.select("h1", "h2", "n", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
-    linked = some.drop("sigs").join(reps, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    linked = some.join(reps, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     alone = sketched.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

@@ -29,6 +29,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unless_large(ids: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """Mark a written table of one or two id columns for broadcast if it has at most ``limit`` rows (32 MB); a larger one is shuffled."""
+    return F.broadcast(ids) if ids.count() <= limit else ids
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
