@@ -54,7 +54,8 @@ def _fingerprint(windows: DataFrame) -> DataFrame:
     Full adders count all bits at once; the count's fourth binary digit says that eight or more are set.
     """
     keep = [c for c in windows.columns if c != "w"]
-    df = windows.select(*keep, *[F.get("w", F.lit(j)).alias(f"x{j}") for j in range(VOTERS)])
+    # Never null, so no null check of the whole bit formula is derived from the join further on.
+    df = windows.select(*keep, *[F.coalesce(F.get("w", F.lit(j)), F.lit(0).cast("long")).alias(f"x{j}") for j in range(VOTERS)])
 
     def add(df: DataFrame, triples: list[tuple[str, str, str]], names: list[tuple[str, str]], rest: list[str]) -> DataFrame:
         cols = []
