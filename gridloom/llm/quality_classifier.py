@@ -134,7 +134,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, column: str = "quality",
     for i, (kind, rows, n, limit) in enumerate(kinds):
         part = pick(rows, n, limit, seed=10 + i).withColumn("kind", F.lit(kind))
         picked = part if picked is None else picked.unionByName(part)
-    sample = texts_of(docs, picked).orderBy("kind", "doc_id").collect()  # bounded by the limits above
+    sample = sorted(texts_of(docs, picked).collect(), key=lambda r: (r["kind"], r["doc_id"]))  # bounded by the limits above
     by = {k: [r["text"] or "" for r in sample if r["kind"] == k] for k in "pnu"}
     model = train(by["p"], by["u"], by["n"], prior)
 

@@ -12,6 +12,7 @@ from, and at most ``FEATURES`` features kept; every row is scored over its whole
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from gridloom.llm.rows import map_texts, text_rows
 from gridloom.llm.samples import clean_labels, fold, pick, texts_of
 from gridloom.llm.textkit import Hasher, lay_out, mix, spans
 
-POSITIVES, UNLABELLED, CLEAN, FEATURES = 3000, 6000, 3000, 20_000
+POSITIVES, UNLABELLED, CLEAN, FEATURES = 2000, 4000, 2000, 20_000
 FOLDS, HELD = 3, 1
 PREFIXES = (4, 5, 6)
 LEAST_ROWS, LEAST_RATIO, LEAST_SIGMA = 3, 2.5, 4.0
@@ -70,31 +71,42 @@ class Model:
         return pu.margins(self.sets(texts), self.weights, self.bias)
 
 
-def _rows_with(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of all rows and in how many rows each occurs."""
-    found, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for at in range(0, len(texts), 500):
-        f, rows = features(texts[at : at + 500])
-        order = np.lexsort((rows, f))
-        f, rows = f[order], rows[order]
-        new = np.concatenate(([True], (f[1:] != f[:-1]) | (rows[1:] != rows[:-1]))) if len(f) else np.zeros(0, bool)
-        part, n = np.unique(f[new], return_counts=True)
-        merged, inverse = np.unique(np.concatenate((found, part)), return_inverse=True)
-        counts = np.bincount(inverse, weights=np.concatenate((counts, n)), minlength=len(merged)).astype(np.int64)
-        found = merged
-    return found, counts
+def _distinct(texts: list[str]) -> Iterator[np.ndarray]:
+    """Features of a few texts at a time, each once per text."""
+    for at in range(0, len(texts), 200):
+        found, rows = features(texts[at : at + 200])
+        order = np.lexsort((rows, found))
+        found, rows = found[order], rows[order]
+        if len(found):
+            yield found[np.concatenate(([True], (found[1:] != found[:-1]) | (rows[1:] != rows[:-1])))]
+
+
+def _common(texts: list[str], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features that at least ``least`` texts hold, and how many do.
+
+    A first pass counts hash slots only, so rare features, which are most, are never gathered.
+    """
+    slots = np.zeros(1 << 22, np.int32)
+    low = np.uint64(len(slots) - 1)
+    for found in _distinct(texts):
+        slots += np.bincount((found & low).astype(np.int64), minlength=len(slots)).astype(np.int32)
+    held = [found[slots[(found & low).astype(np.int64)] >= least] for found in _distinct(texts)]
+    keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return keys[counts >= least], counts[counts >= least]
+
+
+def _counts(texts: list[str], keys: np.ndarray) -> np.ndarray:
+    """In how many texts each of the sorted ``keys`` occurs."""
+    seen = np.zeros(len(keys), np.int64)
+    for found in _distinct(texts) if len(keys) else ():
+        place = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        seen += np.bincount(place[keys[place] == found], minlength=len(keys))
+    return seen
 
 
 def train(positive: list[str], unlabelled: list[str], clean: list[str], prior: float) -> Model:
-    keys, n_pos = _rows_with(positive)
-    enough = n_pos >= min(LEAST_ROWS, max(1, len(positive) // 10))
-    keys, n_pos = keys[enough], n_pos[enough]
-    other, n_unl = _rows_with(unlabelled)
-    if len(other) and len(keys):
-        place = np.minimum(np.searchsorted(other, keys), len(other) - 1)
-        seen = np.where(other[place] == keys, n_unl[place], 0)
-    else:
-        seen = np.zeros(len(keys), np.int64)
+    keys, n_pos = _common(positive, min(LEAST_ROWS, max(1, len(positive) // 10)))
+    seen = _counts(unlabelled, keys)
     ratio = ((n_pos + 0.5) / max(len(positive), 1)) / ((seen + 0.5) / max(len(unlabelled), 1))
     expected = (seen + 0.5) * max(len(positive), 1) / max(len(unlabelled), 1)
     ratio[(ratio < LEAST_RATIO) | (n_pos - expected < LEAST_SIGMA * np.sqrt(expected))] = 0
@@ -131,7 +143,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, column: str = "toxic", f
     for i, (kind, rows, n, limit) in enumerate(kinds):
         part = pick(rows, n, limit, seed=i).withColumn("kind", F.lit(kind))
         picked = part if picked is None else picked.unionByName(part)
-    sample = texts_of(docs, picked).orderBy("kind", "doc_id").collect()  # bounded by the limits above
+    sample = sorted(texts_of(docs, picked).collect(), key=lambda r: (r["kind"], r["doc_id"]))  # bounded by the limits above
     by = {k: [r["text"] or "" for r in sample if r["kind"] == k] for k in "pnu"}
     model = train(by["p"], by["u"], by["n"], prior)
 
