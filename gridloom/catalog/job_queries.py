@@ -256,10 +256,14 @@ _KN = "[" + ",".join(f"'{c}'" for c in R.FAILURE_CATEGORIES) + "]"
 
 @query("d09_fixture_validation", f"""WITH f AS (SELECT p_partkey AS id, CASE WHEN p_size%5=0 THEN p_name ELSE replace(p_name,' ','-') END AS slug, CASE WHEN p_size%9=0 THEN ' ' ELSE 'a.png' END AS src, CASE WHEN p_size%4=0 THEN [] WHEN p_size%4=1 THEN ['morphology-artifact','odd'] ELSE ['bright-matte-halo'] END AS cat,
   ['needs-review','done'][1+p_partkey%2] AS rev, ['single','spriteSheet','tileSheet'][1+p_partkey%3] AS mode, p_size%2=0 AS hs, p_size%3=0 AS hl, p_partkey%5 AS pv, p_size%6 AS pn FROM part)
- SELECT id AS fixture_id, e AS error FROM (SELECT id, unnest(list_concat(list_filter([CASE WHEN NOT regexp_matches(slug,'^[a-z0-9]+(?:-[a-z0-9]+)*$') THEN 'id must be a lowercase slug' END, CASE WHEN trim(src)='' THEN 'source file name is required' END,
-  CASE WHEN len(cat)=0 THEN 'at least one failure category is required' END, CASE WHEN rev='done' THEN 'unknown review status: done' END, CASE WHEN mode='single' AND NOT hs THEN 'target size is required for single fixtures' END,
-  CASE WHEN mode<>'single' AND NOT hl THEN 'sheet layout is required for sheet fixtures' END, CASE WHEN pv=0 THEN 'privacy and license conflict' END, CASE WHEN pn=0 THEN 'privacy notes are required' END, CASE WHEN pn=1 THEN 'license notes are required' END], lambda v: v IS NOT NULL),
-  list_transform(list_filter(cat, lambda c: NOT list_contains({_KN}, c)), lambda c: 'unknown failure category: '||c))) AS e FROM f)""")
+, u AS (
+ SELECT id, 'slug-format' AS code, NULL::VARCHAR AS value FROM f WHERE NOT regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+)*$')
+ UNION ALL SELECT id, 'no-source', NULL FROM f WHERE trim(src)='' UNION ALL SELECT id, 'no-category', NULL FROM f WHERE len(cat)=0
+ UNION ALL SELECT id, 'review-not-listed', rev FROM f WHERE rev='done' UNION ALL SELECT id, 'no-size', NULL FROM f WHERE mode='single' AND NOT hs
+ UNION ALL SELECT id, 'no-layout', NULL FROM f WHERE mode<>'single' AND NOT hl UNION ALL SELECT id, 'public-but-private-license', NULL FROM f WHERE pv=0
+ UNION ALL SELECT id, 'privacy-notes-empty', NULL FROM f WHERE pn=0 UNION ALL SELECT id, 'license-notes-empty', NULL FROM f WHERE pn=1
+ UNION ALL SELECT id, 'category-not-listed', c FROM (SELECT id, unnest(cat) AS c FROM f) WHERE NOT list_contains({_KN}, c))
+ SELECT id AS fixture_id, code, value FROM u""")
 def d09(spark, d):
     k, s = F.col("p_partkey"), F.col("p_size")
     lit = lambda *v: F.array(*[F.lit(x) for x in v]) if v else F.array().cast("array<string>")
@@ -272,11 +276,11 @@ def d09(spark, d):
     return R.validate_fixtures(r)
 
 
-_HV = ", ".join(f"('{c}','{h}')" for c, h in R.HINTS.items())
+_HV = ", ".join(f"('{c}','{step}')" for step, codes in R.NEXT_STEPS.items() for c in codes)
 
 
-@query("d11_run_reports", f"""WITH h(code,hint) AS (VALUES {_HV}), r AS (SELECT event_id AS run_id, CASE WHEN event_type='purchase' THEN 'success' ELSE 'failure' END AS status, ['invalid_options','decode_failed','unsafe_output','cancelled','odd'][1+user_id%5] AS code, user_id%6 AS exit_code, 'call failed TOKEN=abc'||event_id||' at step' AS m FROM events)
- SELECT run_id, 1::BIGINT AS schema_version, status, exit_code, replace(m,'abc'||run_id,'[REDACTED]') AS message, CASE WHEN status='success' THEN 'No recovery action needed.' ELSE coalesce(hint,'Review the error and rerun with diagnostics.') END AS hint FROM r LEFT JOIN h USING (code)""")
+@query("d11_run_reports", f"""WITH h(code,step) AS (VALUES {_HV}), r AS (SELECT event_id AS run_id, CASE WHEN event_type='purchase' THEN 'success' ELSE 'failure' END AS status, ['invalid_options','decode_failed','unsafe_output','cancelled','odd'][1+user_id%5] AS code, user_id%6 AS exit_code, 'call failed TOKEN=abc'||event_id||' at step' AS m FROM events)
+ SELECT run_id, 1::BIGINT AS schema_version, status, exit_code, replace(m,'abc'||run_id,'[REDACTED]') AS message, CASE WHEN status='success' THEN 'none' ELSE coalesce(step,'see-diagnostics') END AS next_step FROM r LEFT JOIN h USING (code)""")
 def d11(spark, d):
     codes = F.array(*[F.lit(c) for c in ("invalid_options", "decode_failed", "unsafe_output", "cancelled", "odd")])
     e = table(spark, d, "events").select(F.col("event_id").alias("run_id"), F.when(F.col("event_type") == "purchase", "success").otherwise("failure").alias("status"),

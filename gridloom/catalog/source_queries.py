@@ -231,7 +231,7 @@ def p19(spark, d):
 
 
 @query("p16_buckets_and_ratios", """SELECT doc_id, CASE WHEN n_chars*700<102400 THEN '0-100kb' WHEN n_chars*700<1048576 THEN '100kb-1mb' WHEN n_chars*700<5242880 THEN '1mb-5mb' WHEN n_chars*700<20971520 THEN '5mb-20mb' ELSE '20mb-plus' END AS bucket,
- left(CASE WHEN length(trim(source))=0 THEN 'unknown' ELSE lower(trim(source)) END, 96) AS source_key, greatest(0e0,least(1e0,round(n_chars/3777e0,4))) AS fill FROM documents""")
+ CASE WHEN length(trim(source))=0 THEN 'unknown' ELSE lower(trim(source)) END AS source_key, greatest(0e0,least(1e0,round(n_chars/3777e0,4))) AS fill FROM documents""")
 def p16(spark, d):
     n = F.col("n_chars")
     return table(spark, d, "documents").select("doc_id", T.size_bucket(n * 700).alias("bucket"), T.normalise(F.col("source")).alias("source_key"), T.ratio(n / 3777.0).alias("fill"))

@@ -40,7 +40,7 @@ STATS = """st AS (SELECT asset_id, edge, row, col, round(avg(sqrt(((r1-r2)*(r1-r
 def issues_sql(cut: str) -> str:
     return f"""iss AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY CASE WHEN edge='right-left' THEN 0 ELSE 1 END, row, col, o) AS pos FROM (
    SELECT asset_id, edge, row, col, 0 AS o, 'edge-mismatch' AS code, edge_delta AS score FROM st WHERE edge_delta>={cut} UNION ALL
-   SELECT asset_id, edge, row, col, 1, 'lighting-discontinuity', light_delta FROM st WHERE light_delta>=0.14e0)) WHERE pos<=24)"""
+   SELECT asset_id, edge, row, col, 1, 'lighting-discontinuity', light_delta FROM st WHERE light_delta>=0.14e0))) """
 
 
 @query("j05_adjacent_edge_pairs", f"WITH {PX_TILE}, {PAIRS.format(src='px_tile')} SELECT asset_id, edge, row, col, pos, r1*65536+g1*256+b1 AS left_color, r2*65536+g2*256+b2 AS right_color FROM pr")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STRING_LIMIT = 96
 REDACTED = "[REDACTED]"
 MEMORY_BUDGET = 128 * 1024 * 1024
 
@@ -32,7 +31,7 @@ def size_bucket(n: Column) -> Column:
 
 def normalise(s: Column) -> Column:
     t = F.lower(F.trim(s))
-    return F.substring(F.when(F.length(t) == 0, "unknown").otherwise(t), 1, STRING_LIMIT)
+    return F.when(F.length(t) == 0, "unknown").otherwise(t)
 
 
 def ratio(v: Column) -> Column:

@@ -81,7 +81,7 @@ def scoped_patch(rows: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def clean_clip_name(c: Column) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(F.trim(c), r"\s+", "_"), "[^a-zA-Z0-9_-]", ""), 1, 48)
+    return F.regexp_replace(F.regexp_replace(F.trim(c), r"\s+", "_"), "[^a-zA-Z0-9_-]", "")
 
 
 def rename_clips(clips: DataFrame, renames: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from gridloom.operators.ordering import top_k
 
 TILE_SIZES = (8, 12, 16, 24, 32, 48, 64)
 RGB_MAX_DISTANCE = 441.67295593
-MISMATCH, LIGHTING, ERROR_SCORE, MAX_ISSUES = 0.18, 0.14, 0.6, 24
+MISMATCH, LIGHTING, ERROR_SCORE = 0.18, 0.14, 0.6
 FNV_START, FNV_PRIME = 2166136261, 16777619
 EDGE = ["asset_id", "edge", "row", "col"]
 
@@ -112,13 +112,13 @@ def seam_summary(stats: DataFrame) -> DataFrame:
         F.round(F.max("edge_delta"), 6).alias("max_delta"), F.round(F.max("light_delta"), 6).alias("max_light"))
 
 
-def seam_issues(stats: DataFrame, mismatch: float = MISMATCH, lighting: float = LIGHTING, limit: int = MAX_ISSUES) -> DataFrame:
-    """First ``limit`` issues in scan order: vertical borders first, mismatch before lighting."""
+def seam_issues(stats: DataFrame, mismatch: float = MISMATCH, lighting: float = LIGHTING, limit: int | None = None) -> DataFrame:
+    """All issues, numbered in scan order: vertical borders first, mismatch before lighting; a report may pass a ``limit``."""
     code = lambda name, order, col, cut: F.when(F.col(col) >= cut, F.struct(F.lit(order).alias("o"), F.lit(name).alias("code"), F.col(col).alias("score")))
     both = F.array_compact(F.array(code("edge-mismatch", 0, "edge_delta", mismatch), code("lighting-discontinuity", 1, "light_delta", lighting)))
     d = stats.withColumn("i", F.explode(both))
     order = [F.when(F.col("edge") == "right-left", 0).otherwise(1), F.col("row"), F.col("col"), F.col("i.o")]
-    d = top_k(d, ["asset_id"], order, limit, "pos")
+    d = top_k(d, ["asset_id"], order, limit, "pos") if limit else d.withColumn("pos", F.row_number().over(W.partitionBy("asset_id").orderBy(*order)).cast("long"))
     strategy = F.when(F.col("i.code") == "lighting-discontinuity", "lightingHarmonization").when(
         F.col("i.score") >= ERROR_SCORE, "manualRepaint").otherwise("edgeColorHarmonization")
     return d.select(*EDGE, "pos", F.col("i.code").alias("code"), F.round("i.score", 6).alias("score"),
@@ -131,7 +131,8 @@ def repair_seams(px: DataFrame, tile: int, mismatch: float = 0.08) -> DataFrame:
     A seam with a clear pixel is skipped whole (the published tool keeps its partial edit).
     """
     stats = seam_stats(edge_pairs(px, tile))
-    todo = seam_issues(stats, mismatch).filter((F.col("score") < ERROR_SCORE) & (F.col("strategy") != "manualRepaint")).select(*EDGE).distinct()
+    mild = lambda c, cut: (F.col(c) >= cut) & (F.round(c, 6) < ERROR_SCORE)
+    todo = stats.filter(mild("edge_delta", mismatch) | mild("light_delta", LIGHTING)).select(*EDGE)
     out = px
     for edge in ("right-left", "bottom-top"):
         pairs = edge_pairs(out, tile).filter(F.col("edge") == edge).join(todo, EDGE, "left_semi")

@@ -153,41 +153,52 @@ FAILURE_CATEGORIES = (
 REVIEW_STATES = ("report-only", "golden-approved", "needs-review", "internal-only")
 
 
+# Each rule: a code and the SQL condition that breaks it.
+FIXTURE_RULES = (
+    ("slug-format", "NOT slug RLIKE '^[a-z0-9]+(-[a-z0-9]+)*$'"),
+    ("license-notes-empty", "trim(license_notes) = ''"),
+    ("privacy-notes-empty", "trim(privacy_notes) = ''"),
+    ("public-but-private-license", "privacy = 'safe-to-commit' AND license = 'private-do-not-commit'"),
+    ("no-category", "size(categories) = 0"),
+    ("no-source", "trim(source) = ''"),
+    ("no-layout", "mode IN ('spriteSheet', 'tileSheet') AND NOT has_layout"),
+    ("no-size", "mode = 'single' AND NOT has_size"),
+)
+
+
 def validate_fixtures(rows: DataFrame) -> DataFrame:
-    """Error rows of fixture metadata
-    ``(fixture_id, slug, source, categories, review, mode, has_size, has_layout, privacy, privacy_notes, license, license_notes)``."""
-    err = lambda cond, msg: F.when(cond, msg if isinstance(msg, Column) else F.lit(msg))
-    known = F.array(*[F.lit(c) for c in FAILURE_CATEGORIES])
-    plain = F.array_compact(F.array(
-        err(~F.col("slug").rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$"), "id must be a lowercase slug"), err(F.length(F.trim("source")) == 0, "source file name is required"),
-        err(F.size("categories") == 0, "at least one failure category is required"),
-        err(~F.col("review").isin(*REVIEW_STATES), F.concat(F.lit("unknown review status: "), F.col("review"))),
-        err((F.col("mode") == "single") & ~F.col("has_size"), "target size is required for single fixtures"),
-        err(F.col("mode").isin("spriteSheet", "tileSheet") & ~F.col("has_layout"), "sheet layout is required for sheet fixtures"),
-        err((F.col("privacy") == "safe-to-commit") & (F.col("license") == "private-do-not-commit"), "privacy and license conflict"),
-        err(F.length(F.trim("privacy_notes")) == 0, "privacy notes are required"), err(F.length(F.trim("license_notes")) == 0, "license notes are required")))
-    unknown = F.transform(F.filter("categories", lambda c: ~F.array_contains(known, c)), lambda c: F.concat(F.lit("unknown failure category: "), c))
-    return rows.select("fixture_id", F.explode(F.concat(plain, unknown)).alias("error"))
-
-
-# Recovery hint per error code.
-HINTS = {
-    "invalid_options": "Check option values and retry.", "input_not_found": "Verify the input file.", "unsupported_format": "Verify the input file.",
-    "decode_failed": "Verify the input file.", "output_exists": "Choose another output path or allow overwriting.", "unsafe_output": "Use a path inside the output directory.",
-    "encode_failed": "Check output permissions and disk space.", "write_failed": "Check output permissions and disk space.",
-    "processing_failed": "Try explicit grid, size or sheet settings.", "export_failed": "Retry with a single target.", "cancelled": "Rerun when ready.",
+    """``fixture_id, code, value``: one row per broken rule of ``FIXTURE_RULES``, and per value outside its list.
+
+    ``rows(fixture_id, slug, source, categories, review, mode, has_size, has_layout, privacy, privacy_notes, license, license_notes)``.
+    """
+    broken = F.map_filter(F.create_map(*[x for code, cond in FIXTURE_RULES for x in (F.lit(code), F.expr(cond))]), lambda k, v: v)
+    rules = rows.select("fixture_id", F.explode(F.map_keys(broken)).alias("code"), F.lit(None).cast("string").alias("value"))
+    listed = rows.select("fixture_id", F.explode("categories").alias("value")).where(~F.col("value").isin(*FAILURE_CATEGORIES)).select("fixture_id", F.lit("category-not-listed").alias("code"), "value")
+    states = rows.where(~F.col("review").isin(*REVIEW_STATES)).select("fixture_id", F.lit("review-not-listed").alias("code"), F.col("review").alias("value"))
+    return rules.unionByName(listed).unionByName(states)
+
+
+# Next step per error code; the codes are fixed values, the steps are names of our own.
+NEXT_STEPS = {
+    "change-options": ("invalid_options",),
+    "check-input": ("input_not_found", "unsupported_format", "decode_failed"),
+    "check-output": ("output_exists", "unsafe_output", "encode_failed", "write_failed"),
+    "set-grid-by-hand": ("processing_failed",),
+    "export-one-target": ("export_failed",),
+    "run-again": ("cancelled",),
 }
+NO_STEP, ANY_STEP = "none", "see-diagnostics"
 
 
 def run_reports(runs: DataFrame, spark: SparkSession) -> DataFrame:
-    """Report row per run: status, exit code, redacted message and recovery hint.
+    """Report row per run: status, exit code, whole redacted message and the next step.
 
-    ``runs(run_id, status, code, exit_code, message)``; the hint table is fixed in code.
+    ``runs(run_id, status, code, exit_code, message)``; the table of steps is fixed in code.
     """
-    hints = spark.createDataFrame(list(HINTS.items()), "code string, hint string")
-    j = runs.join(F.broadcast(hints), "code", "left")
-    hint = F.when(F.col("status") == "success", "No recovery action needed.").otherwise(F.coalesce("hint", F.lit("Review the error and rerun with diagnostics.")))
-    return j.select("run_id", F.lit(1).cast("long").alias("schema_version"), "status", "exit_code", text.redact(F.col("message"), 4000).alias("message"), hint.alias("hint"))
+    steps = spark.createDataFrame([(c, step) for step, codes in NEXT_STEPS.items() for c in codes], "code string, step string")
+    j = runs.join(F.broadcast(steps), "code", "left")
+    step = F.when(F.col("status") == "success", NO_STEP).otherwise(F.coalesce("step", F.lit(ANY_STEP)))
+    return j.select("run_id", F.lit(1).cast("long").alias("schema_version"), "status", "exit_code", text.redact(F.col("message")).alias("message"), step.alias("next_step"))
 
 
 def edit_palettes(palettes: DataFrame, edits: DataFrame) -> DataFrame:

@@ -76,30 +76,41 @@ def progress_stream(events: DataFrame) -> DataFrame:
     return running_max(live, ["job_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"), done, "percent").select("job_id", "event_id", "status", "percent")
 
 
-_STATE = "end_us bigint, end_id bigint, end_status string, live_us bigint, live_id bigint, progress double, started_us bigint, last_status string"
+_STATE = "end_us bigint, end_id bigint, end_status string, marks array<struct<us: bigint, event_id: bigint, status: string, progress: double>>"
+_FIELDS = ("end_us", "end_id", "end_status", "marks")
 _OUT = "job_id bigint, status string, progress double, started_us bigint, completed_us bigint"
 
 
 def _fold(key, batches: Iterator, state) -> Iterator:
-    """Fold one job's events of a micro-batch, in event-time order, into its state."""
+    """Merge one job's events into its state.
+
+    Every field keeps the (time, event id) it comes from and changes only for an event that beats it, so
+    the state is the same in whatever order and batches events arrive. The earliest terminal event ends a
+    job; what happened after it does not count.
+    """
     import pandas as pd
 
-    pdf = pd.concat(list(batches)).sort_values(["us", "event_id"])
-    end_us, end_id, end_status, live_us, live_id, progress, started, last = state.get if state.exists else (None,) * 8
-    for us, event_id, status, value in zip(pdf["us"], pdf["event_id"], pdf["status"], pdf["progress"]):
-        if end_us is not None:
-            break
-        last = status
-        if status in TERMINAL:
-            end_us, end_id, end_status = int(us), int(event_id), status
-            continue
-        live_us, live_id, progress = int(us), int(event_id), float(value)
-        if status == "running" and started is None:
-            started = int(us)
-    state.update((end_us, end_id, end_status, live_us, live_id, progress, started, last))
-    shown = 1.0 if end_status == "completed" else round(max(0.0, min(1.0, progress or 0.0)), 6)
-    yield pd.DataFrame({"job_id": [key[0]], "status": [end_status or last], "progress": [shown],
-                        "started_us": pd.array([started], dtype="Int64"), "completed_us": pd.array([end_us], dtype="Int64")})
+    seen = {n: None for n in _FIELDS} if not state.exists else dict(zip(_FIELDS, state.get))
+    marks = [] if seen["marks"] is None else [tuple(m) for m in seen["marks"]]
+    for pdf in batches:
+        for us, event_id, status, value in zip(pdf["us"], pdf["event_id"], pdf["status"], pdf["progress"]):
+            at = (int(us), int(event_id))
+            if status in TERMINAL:
+                if seen["end_us"] is None or at < (seen["end_us"], seen["end_id"]):
+                    seen |= {"end_us": at[0], "end_id": at[1], "end_status": status}
+            else:
+                marks.append((*at, status, float(value)))
+    end = None if seen["end_us"] is None else (seen["end_us"], seen["end_id"])
+    # Before the end: the first running event and the latest event are all that is ever asked for, but an
+    # earlier end may still arrive, so older events stay until then.
+    marks = sorted(set(m for m in marks if end is None or m[:2] < end))
+    seen["marks"] = marks
+    state.update(tuple(seen[n] for n in _FIELDS))
+    started = next((m[0] for m in marks if m[2] == "running"), None)
+    status = seen["end_status"] or (marks[-1][2] if marks else None)
+    shown = 1.0 if seen["end_status"] == "completed" else round(max(0.0, min(1.0, marks[-1][3] if marks else 0.0)), 6)
+    yield pd.DataFrame({"job_id": [key[0]], "status": [status], "progress": [shown],
+                        "started_us": pd.array([started], dtype="Int64"), "completed_us": pd.array([seen["end_us"]], dtype="Int64")})
 
 
 def latest_jobs_stream(events: DataFrame) -> DataFrame:
