@@ -94,3 +94,25 @@ def test_frames_at_spans_buckets(spark, raster):
     got = {(r.frame_idx, r.x, r.y) for r in frames.frames_at(px, f, bucket=2).collect()}
     want = {(0, x, y) for x in range(1, 5) for y in range(1, 3)} | {(1, x, y) for x in range(3, 6) for y in range(4)}
     assert got == want
+
+
+def test_job_stream_ignores_arrival_order(spark, tmp_path):
+    """Late progress, a late earlier end and a split over files give the state of the batch form."""
+    import datetime as dt
+
+    from gridloom.streaming import jobs
+
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    rows = [(1, 1, at(1), "queued", 0.0), (1, 2, at(2), "running", 0.2), (1, 3, at(3), "running", 0.6), (1, 4, at(4), "failed", 0.6), (1, 5, at(6), "completed", 1.0),
+            (2, 6, at(1), "queued", 0.0), (2, 7, at(2), "running", 0.3), (2, 8, at(5), "running", 0.9), (3, 9, at(9), "cancelled", 0.0), (3, 10, at(3), "running", 0.5)]
+    schema = "job_id long, event_id long, ts timestamp, status string, progress double"
+    for n, part in enumerate(([rows[4], rows[2], rows[7], rows[8]], [rows[0], rows[9], rows[5]], [rows[3], rows[1], rows[6]])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        del n
+    stream = jobs.latest_jobs_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    seen = {}
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(lambda df, i: seen.update({r.job_id: tuple(r) for r in df.collect()})).start()
+    q.processAllAvailable()
+    q.stop()
+    want = jobs.latest_jobs(spark.createDataFrame(rows, schema)).drop("events").collect()
+    assert sorted(seen.values()) == sorted(map(tuple, want))
