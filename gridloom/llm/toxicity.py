@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import pu
-from gridloom.llm.rows import map_texts, text_rows
+from gridloom.llm.rows import bundles, map_texts, text_rows
 from gridloom.llm.samples import clean_labels, fold, pick, texts_of
 from gridloom.llm.textkit import Hasher, lay_out, mix, spans
 
@@ -58,6 +58,12 @@ class Model:
     slots: np.ndarray  # which low bits occur among the keys
 
     def sets(self, texts: list[str]) -> pu.Sets:
+        """Known features of each text, a bounded run of texts at a time."""
+        parts = [self._sets(part) for _, part in bundles(texts)]
+        sizes = np.concatenate([np.diff(p.starts) for p in parts]) if parts else np.zeros(0, np.int64)
+        return pu.Sets(np.concatenate(([0], np.cumsum(sizes))), np.concatenate([p.features for p in parts]) if parts else np.zeros(0, np.int64))
+
+    def _sets(self, texts: list[str]) -> pu.Sets:
         found, rows = features(texts)
         near = self.slots[(found & np.uint64(SLOTS - 1)).astype(np.int64)]
         found, rows = found[near], rows[near]
@@ -73,8 +79,8 @@ class Model:
 
 def _distinct(texts: list[str]) -> Iterator[np.ndarray]:
     """Features of a few texts at a time, each once per text."""
-    for at in range(0, len(texts), 200):
-        found, rows = features(texts[at : at + 200])
+    for _, part in bundles(texts):
+        found, rows = features(part)
         order = np.lexsort((rows, found))
         found, rows = found[order], rows[order]
         if len(found):
