@@ -2,7 +2,7 @@
 
 1. quality rules: documents the rules reject go;
 2. line dedup: lines that ten or more documents hold go from every document, ``n_chars`` follows;
-3. n-gram Jaccard join: of each class of near copies (five-word shingles, similarity 0.8) the document
+3. n-gram Jaccard join: of each class of near copies (five-word shingles, similarity 0.85) the document
    with the smallest id stays; rows with equal ids stay or go together;
 4. benchmark decontamination: documents that hold a benchmark item go;
 5. best-fit packing: token pieces of what is left, in sequences of at most 4096 tokens.
@@ -33,7 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = partenum.similar_classes(docs, k=5, num=80, den=100)
+    classes = partenum.similar_classes(docs, k=5, num=85, den=100)
     return docs.join(classes.where("component_id = doc_id").select("doc_id").distinct(), "doc_id", "left_semi")
 
 

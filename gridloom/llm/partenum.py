@@ -18,13 +18,19 @@ first meets one partner, the member that shares most signatures with others. Ver
 components; then members are offered, in blocks that double, only to sets that still are in another
 component, until no bucket holds two components with an untried pair. The components are those of
 all links.
+
+Before two sets are fetched and compared, their cell counts are: elements are counted in ``CELLS`` hash
+cells, and the counts of two sets never differ by more, in total, than the sets do. Pairs that
+met by chance end there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +42,7 @@ N2, K2 = 2, 1
 # Parts beyond those needed, as a share.
 SPARE = 0.05
 STRONG, WEAK, POOR = 0, 1, 2
+CELLS = 128
 _U = np.uint64
 
 
@@ -108,7 +115,7 @@ def _signed(v: np.ndarray) -> np.ndarray:
 
 
 class _Sketch:
-    """Set size and a 128-bit digest of the set."""
+    """Set size, a 128-bit digest of the set, and its cell counts (one byte each, 255 for more)."""
 
     def __init__(self, k: int):
         self.k = k
@@ -117,7 +124,8 @@ class _Sketch:
         sets = shingle_sets([t or "" for t in texts], self.k)
         sums = [(mix(s).sum(dtype=_U), mix(s ^ _U(0xA0761D6478BD642F)).sum(dtype=_U)) for s in sets]
         both = _signed(np.array(sums, _U).reshape(-1, 2))
-        return {"row": ids, "n": [len(s) for s in sets], "h1": both[:, 0], "h2": both[:, 1]}
+        cells = [np.minimum(np.bincount((mix(s ^ _U(0x2545F4914F6CDD1D)) % _U(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
+        return {"row": ids, "n": [len(s) for s in sets], "h1": both[:, 0], "h2": both[:, 1], "cells": cells}
 
 
 class _Entries:
@@ -142,12 +150,35 @@ class _Elements:
 
 
 def _fits(a: str, b: str, num: int, den: int) -> Column:
-    """Sizes that sets above the threshold can have."""
-    return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
+    """Sizes that sets above the threshold can have; an unknown size fits."""
+    return F.coalesce((F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num), F.lit(True))
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _may_link(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose cell counts allow a link."""
+    one, two = (members.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("cells").alias(f"c{c}")) for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = bytes(CELLS)
+        for batch in batches:
+            na, nb = (batch.column(i).fill_null(-1).to_numpy() for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(v or none for v in batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS) for i in (4, 5))
+            apart = np.abs(x.astype(np.int16) - y).sum(axis=1, dtype=np.int64)
+            keep = (na < 0) | (nb < 0) | (apart * (den + num) <= (na + nb) * (den - num))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(keep))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verify(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Pairs ``a, b`` whose sets link: ``den * |A and B| >= num * |A or B|``."""
+    pairs = settle(_may_link(pairs, members, num, den), "near")
+    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
+    rows = texts.join(unless_large(ids), "doc_id", "left_semi").select(F.struct("doc_id", "tx").alias("doc_id"), "text")
+    sets = settle(map_texts(rows, _Elements(k), "doc_id long, els array<long>"), "sets")
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("els").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("els").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(one, "a").join(two, "b").where(both * den >= (F.size("x") + F.size("y") - both) * num).select("a", "b").distinct()
@@ -161,11 +192,11 @@ def similar_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     equal sets only. Other columns are ignored.
     """
     rows = text_rows(docs).select(F.struct("doc_id", F.xxhash64("text").alias("tx")).alias("doc_id"), "text")
-    sketched = settle(map_texts(rows, _Sketch(k), "row struct<doc_id: long, tx: long>, n long, h1 long, h2 long").select("row.*", "n", "h1", "h2"), "sketches")
+    sketched = settle(map_texts(rows, _Sketch(k), "row struct<doc_id: long, tx: long>, n long, h1 long, h2 long, cells binary").select("row.*", "n", "h1", "h2", "cells"), "sketches")
     some = sketched.where("n > 0")
     # Copies are counted before the shuffle; their first stands for all.
-    nodes = settle(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "nodes")
-    copies = some.join(nodes.where("copies > 1"), ["h1", "h2", "n"]).where("doc_id <> rep").select("doc_id", "tx").distinct()
+    nodes = settle(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("cells").alias("cells")), "nodes")
+    copies = some.drop("cells").join(nodes.where("copies > 1").drop("cells"), ["h1", "h2", "n"]).where("doc_id <> rep").select("doc_id", "tx").distinct()
     keyed = rows.where("doc_id.doc_id IS NOT NULL").select("doc_id.*", "text")
     firsts = keyed.join(unless_large(settle(copies, "copies")), ["doc_id", "tx"], "left_anti").select(F.struct("doc_id", "tx").alias("doc_id"), "text")
     entries = map_texts(firsts, _Entries(k, num, den), "rep long, sig long, role tinyint")
@@ -173,22 +204,22 @@ def similar_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     counted = entries.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("most", F.max("role").over(bucket))
     shared = settle(counted.where(F.col("size") > 1).where(F.col("most") != WEAK).select("sig", "rep", "role", "size"), "buckets")
 
-    sizes = nodes.where("rep IS NOT NULL").groupBy("rep").agg(F.max("n").alias("n"))
+    # One id with several texts has no one size.
+    alike = lambda c: F.when(F.count(F.lit(1)) == 1, F.first(c)).alias(c)
+    sizes = nodes.where("rep IS NOT NULL").groupBy("rep").agg(alike("n"), alike("cells"))
     degree = shared.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("degree"))
     members = settle(degree.join(sizes, "rep"), "members")
-    involved = unless_large(members.select(F.col("rep").alias("doc_id")))
-    sets = settle(map_texts(keyed.join(involved, "doc_id", "left_semi").select(F.struct("doc_id", "tx").alias("doc_id"), "text"), _Elements(k), "doc_id long, els array<long>"), "sets")
 
     # Poor sets come first where elements lack: a bucket's offers are its first members.
     offering = F.col("role") != WEAK
     first = bucket.orderBy(~offering, F.desc("degree"), "rep")
-    ranked = shared.join(members, "rep").withColumn("pos", F.row_number().over(first)).withColumn("offers", F.sum(offering.cast("int")).over(bucket))
+    ranked = shared.join(members.drop("cells"), "rep").withColumn("pos", F.row_number().over(first)).withColumn("offers", F.sum(offering.cast("int")).over(bucket))
     for c in ("rep", "n", "degree"):
         ranked = ranked.withColumn(f"top_{c}", F.first(c).over(first))
     ranked = settle(ranked, "ranked")
     partner = F.max(F.struct("top_degree", "top_rep")).alias("p")
     pairs = ranked.where("pos > 1").where(_fits("n", "top_n", num, den)).groupBy(F.col("rep").alias("b")).agg(partner).select(F.col("p.top_rep").alias("a"), "b")
-    edges = settle(_verify(pairs, sets, num, den), "links")
+    edges = settle(_verify(pairs, members, keyed, k, num, den), "links")
 
     live = ranked.select("sig", "rep", "n", "pos", "size", "offers")
     label = members.select(F.col("rep").alias("node"))
@@ -204,11 +235,11 @@ def similar_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
         offer = open_rows.where(F.col("pos").between(low, high) & (F.col("pos") <= F.col("offers"))).select("sig", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
         meet = open_rows.select("sig", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb")).join(offer, "sig")
         pairs = settle(meet.where("pb > pa AND ca <> cb").where(_fits("na", "nb", num, den)).select("a", "b").distinct(), "pairs")
-        edges = settle(edges.unionByName(_verify(pairs, sets, num, den)), "links")
+        edges = settle(edges.unionByName(_verify(pairs, members, keyed, k, num, den)), "links")
         live = open_rows.drop("component")
         low, high = high + 1, 2 * high + 1
 
     reps = nodes.select("h1", "h2", "n", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
-    linked = some.join(reps, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    linked = some.drop("cells").join(reps, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     alone = sketched.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
