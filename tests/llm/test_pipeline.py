@@ -23,7 +23,7 @@ def expected(docs, items):
         for k in {key(x) for x in t.split("\n")} - {""}:
             held[k] = held.get(k, 0) + 1
     docs = [(i, "\n".join(x for x in t.split("\n") if held.get(key(x), 0) < 10)) for i, t in docs]
-    stay = {d for d, _, c in classes(docs, 5, 80, 100) if c == d}
+    stay = {d for d, _, c in classes(docs, 5, 85, 100) if c == d}
     docs = [(i, t) for i, t in docs if i in stay]
     hit = {i for i, _ in leaks(docs, items)}
     return [(i, t) for i, t in docs if i not in hit]
