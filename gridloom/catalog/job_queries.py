@@ -157,7 +157,7 @@ def m01(spark, d):
 
 _SIGN = lambda src, name: f"""{name} AS (SELECT asset_id, max(w) AS width, max(h) AS height, count(*) FILTER (a>0) AS visible, count(*) FILTER (a=0) AS transparent, sum(((idx+1)*((r*65536+g*256+b)*256+a))%4294967291)::BIGINT AS checksum,
  max(CASE WHEN x=0 AND y=0 THEN concat_ws(',',r,g,b,a) END) AS p_0_0, max(CASE WHEN x=5 AND y=3 THEN concat_ws(',',r,g,b,a) END) AS p_5_3 FROM {src} GROUP BY 1),
- {name}p AS (SELECT asset_id, string_agg({hex6('c')}, ' ' ORDER BY c) AS palette FROM (SELECT asset_id, c, row_number() OVER (PARTITION BY asset_id ORDER BY c) AS rk FROM (SELECT DISTINCT asset_id, r*65536+g*256+b AS c FROM {src} WHERE a>0)) WHERE rk<=32 GROUP BY 1)"""
+ {name}p AS (SELECT asset_id, string_agg({hex6('c')}, ' ' ORDER BY c) AS palette FROM (SELECT DISTINCT asset_id, r*65536+g*256+b AS c FROM {src} WHERE a>0) GROUP BY 1)"""
 _PTS = ((0, 0), (5, 3))
 
 

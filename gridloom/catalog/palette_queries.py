@@ -85,7 +85,7 @@ def a01(spark, d):
 
 
 @query("a02_distinct_colors", f"""WITH {PX_PART}, k AS (SELECT asset_id, a, r*65536+g*256+b AS color FROM px_part), e AS (SELECT asset_id, a, color, {FIVE} AS c5 FROM k)
- SELECT asset_id, count(DISTINCT color) FILTER (a>=16) AS exact_visible, least(65, count(DISTINCT color*256+a)) AS capped_rgba,
+ SELECT asset_id, count(DISTINCT color) FILTER (a>=16) AS exact_visible, count(DISTINCT color*256+a) AS exact_rgba,
   count(DISTINCT c5) AS bins_all, count(DISTINCT c5) FILTER (a>=16) AS bins_visible FROM e GROUP BY 1""")
 def a02(spark, d):
     return H.distinct_colors(corpora.px_part(spark, d))

@@ -95,14 +95,13 @@ def _border(px: DataFrame, step: Column, corner_twice: bool) -> DataFrame:
     return px.withColumn("t", t).filter(F.col("t") > 0)
 
 
-def border_model(px: DataFrame) -> DataFrame:
-    """Top two 12-bit border buckets; the second is kept if both are bright, neutral and close.
+def border_model(px: DataFrame, step: int = 1) -> DataFrame:
+    """Top two 12-bit buckets of all border pixels (every ``step``-th, if asked); the second is kept if both are bright, neutral and close.
 
     Ties between buckets go to the lower bucket number.
     """
-    step = F.greatest(F.lit(1), F.floor(F.least("w", "h") / 32))
     b12 = C.bucket12(F.col("r"), F.col("g"), F.col("b"))
-    counts = _border(px, step, True).groupBy("asset_id", b12.alias("bucket")).agg(
+    counts = _border(px, F.lit(step), True).groupBy("asset_id", b12.alias("bucket")).agg(
         F.sum("t").alias("n"), *[F.sum(F.col(c) * F.col("t")).alias(f"s{c}") for c in RGB])
     top = top_k(counts, ["asset_id"], [F.desc("n"), F.asc("bucket")], 2)
     m = lambda c: C.rnd(F.col(f"s{c}") / F.col("n"))

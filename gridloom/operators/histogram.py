@@ -30,8 +30,8 @@ def histogram(px: DataFrame, keys: tuple[str, ...] = ("asset_id",)) -> DataFrame
     )
 
 
-def distinct_colors(px: DataFrame, cap: int = 65) -> DataFrame:
-    """Exact visible, capped RGBA, and 5-bit colour counts per asset.
+def distinct_colors(px: DataFrame) -> DataFrame:
+    """Exact visible, exact RGBA, and 5-bit colour counts per asset.
 
     Colours are reduced to one row each before they are counted, so no asset's pixels meet
     in one task.
@@ -40,7 +40,7 @@ def distinct_colors(px: DataFrame, cap: int = 65) -> DataFrame:
     seen = F.col("a") >= VISIBLE_ALPHA
     return reduced.groupBy("asset_id").agg(
         F.countDistinct(F.when(seen, F.col("color"))).alias("exact_visible"),
-        F.least(F.lit(cap), F.count(F.lit(1))).cast("long").alias("capped_rgba"),
+        F.count(F.lit(1)).alias("exact_rgba"),
         F.countDistinct(C.five_bit(F.col("color"))).alias("bins_all"),
         F.countDistinct(F.when(seen, C.five_bit(F.col("color")))).alias("bins_visible"),
     )

@@ -9,12 +9,11 @@ from gridloom.functions import color as C
 from gridloom.functions import text
 from gridloom.operators.ordering import top_k
 
-SIGNATURE_COLORS = 32
 CHECK_PRIME = 4294967291
 SEVERITY_RANK = ("info", "warning", "error")
 
 
-def golden_signature(px: DataFrame, points: tuple[tuple[int, int], ...] = ((0, 0),), limit: int = SIGNATURE_COLORS) -> DataFrame:
+def golden_signature(px: DataFrame, points: tuple[tuple[int, int], ...] = ((0, 0),), limit: int | None = None) -> DataFrame:
     """Size, visible counts, sorted palette, order-free checksum and sampled pixels per asset.
 
     The checksum is a sum over pixels, so it is exact whatever the partitioning.
@@ -25,7 +24,7 @@ def golden_signature(px: DataFrame, points: tuple[tuple[int, int], ...] = ((0, 0
         F.sum(((F.col("idx") + 1) * (packed * 256 + F.col("a"))) % CHECK_PRIME).alias("checksum"),
         *[F.max(F.when((F.col("x") == x) & (F.col("y") == y), F.concat_ws(",", "r", "g", "b", "a"))).alias(f"p_{x}_{y}") for x, y in points])
     cols = px.filter("a > 0").select("asset_id", packed.alias("color")).distinct()
-    top = top_k(cols, ["asset_id"], ["color"], limit).groupBy("asset_id").agg(
+    top = (cols if limit is None else top_k(cols, ["asset_id"], ["color"], limit)).groupBy("asset_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("color")), C.hex_of), " ").alias("palette"))
     return base.join(top, "asset_id", "left")
 
