@@ -22,7 +22,7 @@ from gridloom.llm.rows import map_texts, text_rows
 from gridloom.llm.samples import fold, texts_of
 from gridloom.llm.textkit import lay_out
 
-PER_LANG, SALTS = 800, 16
+PER_LANG, SALTS = 800, 100
 FOLDS, HELD = 4, 2
 DIMS = 2048
 AMBIGUOUS = 0.6
