@@ -71,13 +71,17 @@ def asset_bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("asset_id"), F.lit(buckets)).cast("int")
 
 
+SLICE_ROWS = 1 << 20
+
+
 def write_results(df: DataFrame, path: str, overwrite: bool = False, buckets: int = 64, fmt: str = "parquet") -> None:
     """Write per-asset results in ``asset_bucket`` folders; refuse to replace a folder unless asked.
 
-    The rows are spread by (bucket, asset, slice), so one very large asset is written by
-    several tasks.
+    The rows are dealt by (bucket, slice), so a bucket has one file per slice and a very large
+    asset is written by several tasks.
     """
-    d = df.withColumn("asset_bucket", asset_bucket(buckets))
+    part = F.floor(F.col("idx") / SLICE_ROWS) if "idx" in df.columns else F.lit(0)
+    d = df.withColumn("asset_bucket", asset_bucket(buckets)).repartition("asset_bucket", part)
     d.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("asset_bucket").format(fmt).save(path)
 
 
