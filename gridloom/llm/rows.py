@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import shared_folder
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

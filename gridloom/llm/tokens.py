@@ -14,7 +14,7 @@ import os
 import re
 import unicodedata
 
-CACHE_PIECES = 800_000
+CACHE_PIECES = 600_000
 
 _LETTERS, _DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
 # The public split patterns of the two tokenizers, with the character classes left open.
