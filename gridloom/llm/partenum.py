@@ -3,10 +3,12 @@
 Documents are sets of word shingles. Set sizes fall into bands ``[l, r]`` with ``r = l / t`` for the
 threshold ``t``, so two sets that link lie in one band or in neighbouring ones; a set is entered for
 its own band and for the next. Inside a band two linked sets differ in at most ``k`` elements.
-The element domain is split by hash into ``n1`` parts and each part into ``N2`` sub-parts. At most
-``k / (K2 + 1)`` parts hold more than ``K2`` differing elements; in any other part the sets agree on at
-least ``N2 - K2`` sub-parts. Each choice of ``N2 - K2`` sub-parts of a part gives one signature, a hash of
-all elements inside, and linked sets share at least one. No set is left out at any size.
+The element domain is split by hash into ``n1`` parts and each part into ``n2`` sub-parts. At most
+``k / (k2 + 1)`` parts hold more than ``k2`` differing elements; in any other part the sets agree on at
+least ``n2 - k2`` sub-parts. Each choice of ``n2 - k2`` sub-parts of a part gives one signature, a hash of
+all elements inside, and linked sets share at least one. No set is left out at any size. Both counts
+follow the threshold: below ``FINE_BELOW`` a signature takes two sub-parts of three instead of one of two,
+so it covers a third more elements and unlike sets meet less often.
 
 A signature without elements says little and would gather many sets. There are a few parts more
 than needed, so nearly every set has more parts with elements in all choices than linked sets can
@@ -38,7 +40,7 @@ from gridloom.llm.components import components
 from gridloom.llm.rows import map_texts, settle, text_rows, unless_large
 from gridloom.llm.textkit import mix, shingles, words
 
-N2, K2 = 2, 1
+FINE_BELOW = 0.85
 # Parts beyond those needed, as a share.
 SPARE = 0.05
 STRONG, WEAK, POOR = 0, 1, 2
@@ -51,6 +53,7 @@ class Scheme:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        self.n2, self.k2 = (3, 1) if num < FINE_BELOW * den else (2, 1)
         self.ends: list[int] = []
 
     def band(self, size: int) -> int:
@@ -69,22 +72,22 @@ class Scheme:
 
 def signatures(elements: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of one set of distinct 64-bit elements, and the role of each."""
-    out, roles = [], []
+    out, roles, n2, k2 = [], [], scheme.n2, scheme.k2
     own = scheme.band(len(elements))
     place, values = mix(elements ^ _U(0x5851F42D4C957F2D)), mix(elements + _U(0x14057B7EF767814F))
     for band in (own, own + 1):
         k = scheme.differ(band)
         if k == 0:  # only equal sets link, and those are one node already
             continue
-        need = k // (K2 + 1) + 1
+        need = k // (k2 + 1) + 1
         n1 = need + int(SPARE * need) + 1
-        cell = ((place >> _U(33)) % _U(n1)).astype(np.int64) * N2 + ((place & _U(0xFFFFFFFF)) % _U(N2)).astype(np.int64)
-        sums = np.zeros(n1 * N2, _U)
+        cell = ((place >> _U(33)) % _U(n1)).astype(np.int64) * n2 + ((place & _U(0xFFFFFFFF)) % _U(n2)).astype(np.int64)
+        sums = np.zeros(n1 * n2, _U)
         np.add.at(sums, cell, values)
-        sums = mix(sums + np.arange(n1 * N2, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(1)).reshape(n1, N2)
-        held = np.bincount(cell, minlength=n1 * N2).reshape(n1, N2)
+        sums = mix(sums + np.arange(n1 * n2, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(1)).reshape(n1, n2)
+        held = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
         empty = []
-        for chosen in combinations(range(N2), N2 - K2):
+        for chosen in combinations(range(n2), n2 - k2):
             salt = _U((band << 8) + sum(1 << c for c in chosen))
             out.append(mix(sums[:, list(chosen)].sum(axis=1, dtype=_U) ^ mix(np.array([salt]))))
             empty.append(held[:, list(chosen)].sum(axis=1) == 0)
