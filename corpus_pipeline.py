@@ -3,7 +3,8 @@
 1. quality rules: documents the rules reject go;
 2. line dedup: lines that ten or more documents hold go from every document, ``n_chars`` follows;
 3. n-gram Jaccard join: of each class of near copies (five-word shingles, similarity 0.8) the document
-   with the smallest id stays; rows with equal ids stay or go together;
+   with the smallest id stays; rows with equal ids stay or go together, each row without an id
+   is a document of its own and comes after those with one;
 4. benchmark decontamination: documents that hold a benchmark item go;
 5. best-fit packing: token pieces of what is left, in sequences of at most 4096 tokens.
 
@@ -33,13 +34,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = partenum.similar_classes(docs, k=5, num=80, den=100)
-    return docs.join(classes.where("component_id = doc_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    rows, _ = partenum.with_nodes(docs)
+    classes = partenum.node_classes(rows.select(F.col("_node").alias("doc_id"), "text"), k=5, num=80, den=100)
+    return rows.join(classes.where("component_id = doc_id").select(F.col("doc_id").alias("_node")).distinct(), "_node", "left_semi").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), threshold=0.8)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    rows, _ = partenum.with_nodes(docs)
+    found = decontamination.leaks(rows.select(F.col("_node").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), threshold=0.8)
+    return rows.join(found.select(F.col("doc_id").alias("_node")).distinct(), "_node", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

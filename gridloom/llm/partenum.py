@@ -187,20 +187,47 @@ def _verify(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, num:
     return pairs.join(one, "a").join(two, "b").where(both * den >= (F.size("x") + F.size("y") - both) * num).select("a", "b").distinct()
 
 
+def with_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a ``_node`` that is never null, and the rows without an id, if there are any.
+
+    A row's node is its id. Each row without an id is a document of its own: it gets a number above all
+    ids (below them, where ids use the upper half), and is written with it so that the number stays.
+    """
+    without = docs.where(F.col("doc_id").isNull())
+    if without.isEmpty():
+        return docs.withColumn("_node", F.col("doc_id").cast("long")), None
+    top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    base = 1 << 62 if top is None or top < 1 << 62 else -(1 << 63)
+    numbered = settle(without.withColumn("_node", F.lit(base) + F.monotonically_increasing_id()), "no-id")
+    return docs.where(F.col("doc_id").isNotNull()).withColumn("_node", F.col("doc_id").cast("long")).unionByName(numbered), numbered
+
+
 def similar_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per input row.
 
     Null, empty and blank texts have the empty set and link with nothing: their component is their
-    own id. Rows with equal ids are one document and share a component. Rows without an id link with
-    equal sets only. Other columns are ignored.
+    own id. Rows with equal ids are one document and share a component. Each row without an id is a
+    document of its own; a component of such rows only has a null ``component_id``. Other columns are ignored.
     """
+    rows, numbered = with_nodes(text_rows(docs))
+    classes = node_classes(rows.select(F.col("_node").alias("doc_id"), "text"), k, num, den)
+    if numbered is None:
+        return classes
+    own = unless_large(settle(numbered.select("_node"), "no-id-nodes"))
+    for c in ("doc_id", "component_id"):
+        classes = classes.join(own.withColumnRenamed("_node", "_own"), F.col(c) == F.col("_own"), "left").withColumn(c, F.when(F.col("_own").isNull(), F.col(c))).drop("_own")
+    return classes
+
+
+def node_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """As ``similar_classes``, for ids that are never null."""
     rows = text_rows(docs).select(F.struct("doc_id", F.xxhash64("text").alias("tx")).alias("doc_id"), "text")
     sketched = settle(map_texts(rows, _Sketch(k), "row struct<doc_id: long, tx: long>, n long, h1 long, h2 long, cells binary").select("row.*", "n", "h1", "h2", "cells"), "sketches")
     some = sketched.where("n > 0")
     # Copies are counted before the shuffle; their first stands for all.
     nodes = settle(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("cells").alias("cells")), "nodes")
     copies = some.drop("cells").join(nodes.where("copies > 1").drop("cells"), ["h1", "h2", "n"]).where("doc_id <> rep").select("doc_id", "tx").distinct()
-    keyed = rows.where("doc_id.doc_id IS NOT NULL").select("doc_id.*", "text")
+    keyed = rows.select("doc_id.*", "text")
     firsts = keyed.join(unless_large(settle(copies, "copies")), ["doc_id", "tx"], "left_anti").select(F.struct("doc_id", "tx").alias("doc_id"), "text")
     entries = map_texts(firsts, _Entries(k, num, den), "rep long, sig long, role tinyint")
     bucket = Window.partitionBy("sig")
@@ -209,7 +236,7 @@ def similar_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
 
     # One id with several texts has no one size.
     alike = lambda c: F.when(F.count(F.lit(1)) == 1, F.first(c)).alias(c)
-    sizes = nodes.where("rep IS NOT NULL").groupBy("rep").agg(alike("n"), alike("cells"))
+    sizes = nodes.groupBy("rep").agg(alike("n"), alike("cells"))
     degree = shared.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("degree"))
     members = settle(degree.join(sizes, "rep"), "members")
 

@@ -40,3 +40,20 @@ def test_linked_sets_share_a_signature_at_eight_tenths():
             assert ((rx[i] != P.WEAK) | (ry[j] != P.WEAK)).any()
             tried += 1
     assert tried > 100
+
+
+def test_rows_without_an_id_stay_unless_near_copies(spark):
+    words, near, _ = near_and_far()
+    other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "uv")
+    rows = [(None, near), (5, words), (None, other), (None, other), (None, third), (7, third + " end"), (None, None)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in C.near_copies(spark, frame, SF).collect()), key=str)
+    assert got == sorted([(5, words), (None, other), (7, third + " end"), (None, None)], key=str)
+    found = sorted(((r.doc_id, r.component_id) for r in P.similar_classes(frame, 5, 80, 100).collect()), key=str)
+    assert found == sorted([(None, 5), (5, 5), (None, None), (None, None), (None, 7), (7, 7), (None, None)], key=str)
+
+
+def test_a_leak_without_an_id_goes(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first().text
+    frame = spark.createDataFrame([(None, item), (None, near_and_far()[0]), (3, item)], SCHEMA)
+    assert [tuple(r) for r in C.benchmark(spark, frame, SF).collect()] == [(None, near_and_far()[0])]
