@@ -28,7 +28,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept, _ = line_dedup.dedup(docs, min_docs=10)
+    kept, _ = line_dedup.dedup(docs, min_docs=10, by_id=True)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return kept.select(*[new.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns])
 

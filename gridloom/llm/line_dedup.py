@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import cuckoo
-from gridloom.llm.rows import map_texts, partitions, row_key, settle, text_rows
+from gridloom.llm.rows import map_texts, partitions, row_key, settle, text_rows, unless_large
 
 BLANK = b" \t\n\r\x0b\x0c"
 KEYS_PER_SHARD = 200_000
@@ -173,8 +173,19 @@ def drop_lines(docs: DataFrame, state: LineState, found: DataFrame | None = None
     return packed.select("_row", F.size(lines).cast("long").alias("n_lines"), F.size(at).cast("long").alias("n_dropped"), kept.alias("kept"))
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, LineState]:
-    """Count the lines of ``docs`` and drop the frequent ones."""
+def once_per_id(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """``hi, lo`` of ``found``, once for each id; each row without an id is a document of its own.
+
+    Only the lines of ids that stand in several rows are dealt out, by line and id; the others are passed on.
+    """
+    again = settle(text_rows(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("_id"), "repeated-ids")
+    ids = unless_large(again)
+    several = found.join(ids, "_id", "left_semi").select("hi", "lo", "_id").distinct()
+    return found.join(ids, "_id", "left_anti").select("hi", "lo").unionByName(several.select("hi", "lo"))
+
+
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, by_id: bool = False) -> tuple[DataFrame, LineState]:
+    """Count the lines of ``docs`` and drop the frequent ones. A document is a row, or with ``by_id`` all rows of one id."""
     found = settle(line_keys(docs), "lines")
-    state = update(None, docs, 1, min_docs, found)
+    state = update(None, docs, 1, min_docs, once_per_id(found, docs) if by_id else found)
     return drop_lines(docs, state, found), state

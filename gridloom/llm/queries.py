@@ -55,7 +55,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, _ = line_dedup.dedup(_table(spark, sf_dir, "documents"), min_docs=10)
+    kept, _ = line_dedup.dedup(_table(spark, sf_dir, "documents"), min_docs=10, by_id=True)
     return kept.select(F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
