@@ -8,12 +8,14 @@ passage meets an item window word for word wherever it starts.
 
 Fingerprints within ``RADIUS`` bits agree on at least one of ``RADIUS + 1`` blocks of bits; the
 index holds every item window under each of its blocks, so no pair within the radius is missed.
-Candidates say where in the document the item would start. There, and up to a ninth of the item's
-length to either side, the item-sized window (the whole text, if that is shorter) is compared with
-the item by weighted Jaccard similarity, the weight of a shingle being how often it occurs.
-
-Any window with a similarity of 0.8 keeps an unbroken run of shingles that holds a whole aligned
-window of its class, so for that threshold the search loses nothing.
+The similarity takes no account of order and no radius is sure for it, so fingerprints alone do not
+find all. Items are therefore indexed a second time, by shingles: a window with a similarity of ``t``
+holds at least ``t * m`` of an item's ``m`` shingles, so it holds one of any ``m - t * m + 1`` of them;
+those that the fewest items have are taken. A document that meets an item in either index is compared.
+
+Windows of the item's size (the whole text, if that is shorter) are compared wherever enough of
+their shingles are in the item for the threshold, by weighted Jaccard similarity, the weight of a
+shingle being how often it occurs. No window at or over the threshold is left out.
 """
 
 from __future__ import annotations
@@ -89,6 +91,26 @@ def _similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def _rare_shingles(bench: DataFrame, threshold: float) -> DataFrame:
+    """``h, item``: of each item so many shingles that any window at the threshold holds one."""
+    each = bench.select("item", F.size("sh").alias("m"), F.explode("sh").alias("h"))
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    held = each.join(often, "h").groupBy("item", "m").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("o"))  # one item's shingles
+    first = F.col("m") - F.ceil(F.col("m") * threshold - 1e-9).cast("int") + 1
+    return held.select("item", F.explode(F.array_distinct(F.transform(F.slice("o", F.lit(1), first), lambda v: v["h"]))).alias("h"))
+
+
+def _starts(threshold: float) -> tuple[Column, Column, Column]:
+    """``need``, ``at`` (places of the item's shingles) and, from those two columns, the starts of all windows of ``sh`` in which enough shingles are in the item ``b`` for the threshold."""
+    n, m = F.size("sh"), F.size("b")
+    wide = F.least(n, m)
+    need = F.greatest(F.ceil((wide + m) * threshold / (1 + threshold) - 1e-9).cast("int"), F.lit(1))
+    at = F.filter(F.transform("sh", lambda v, i: F.when(F.array_contains("b", v), i)), lambda i: i.isNotNull())
+    # A window with that many holds such a run of places from its first to its last.
+    run = lambda i: F.struct(F.greatest(F.get("at", i + F.col("need") - 1) - m + 1, F.lit(0)).alias("lo"), F.least(F.get("at", i), F.greatest(n - m, F.lit(0))).alias("hi"))
+    return need, at, F.when(F.size("at") >= F.col("need"), F.array_distinct(F.flatten(F.transform(F.filter(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), run), lambda r: r["lo"] <= r["hi"]), lambda r: F.sequence(r["lo"], r["hi"])))))
+
+
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``doc_id, item_id, n_shingles, start, similarity``: one row per document and item that it holds.
 
@@ -119,14 +141,19 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
     every = F.concat(*[F.coalesce(_windows(*CLASSES[i][:2]), F.array().cast("array<struct<size:int,start:int,w:array<bigint>>>")) for i in used])
     windows = with_shingles(source).select("doc_id", "_id", "_tx", F.explode(every).alias("e")).select("doc_id", "_id", "_tx", "e.*")
     near = _blocks(_fingerprint(windows)).join(index, "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    hits = settle(near.select("doc_id", "_id", "_tx", "item", "m", (F.col("start") - F.col("offset")).alias("at")).distinct(), "candidates")
-
-    slack = F.ceil(F.col("m") / 9).cast("int")
-    starts = hits.select("doc_id", "_id", "_tx", "item", "m", F.explode(F.sequence(F.col("at") - slack, F.col("at") + slack)).alias("at")).distinct()
-    texts = with_shingles(source.drop("doc_id").join(hits.select("_id", "_tx").distinct(), ["_id", "_tx"], "left_semi").distinct())
-    low = F.greatest(F.least(F.col("at"), F.size("sh") - F.col("m")), F.lit(0))
-    placed = starts.join(texts, ["_id", "_tx"]).select("doc_id", "item", low.alias("start"), F.slice("sh", low + 1, F.col("m")).alias("a"))
-    scored = placed.join(bench.withColumnRenamed("sh", "b"), "item").where(F.size("a") * 1.0 >= threshold * F.size("b"))
-    scored = scored.select("doc_id", "item_id", F.size("b").cast("long").alias("n_shingles"), F.col("start").cast("long").alias("start"), _similarity(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= threshold)
+    rare = settle(_rare_shingles(bench, threshold), "item-shingles")
+    if rare.count() <= INDEX_ROWS:
+        rare = F.broadcast(rare)
+    shared = with_shingles(source).select("_id", "_tx", F.explode(F.array_distinct("sh")).alias("h")).join(rare, "h")
+    hits = settle(near.select("_id", "_tx", "item").unionByName(shared.select("_id", "_tx", "item")).distinct(), "candidates")
+
+    texts = with_shingles(source.join(hits.select("_id", "_tx").distinct(), ["_id", "_tx"], "left_semi").distinct())
+    sized = bench.select("item", "item_id", F.col("sh").alias("b"))
+    if (sized.agg(F.sum(F.size("b"))).first()[0] or 0) <= INDEX_ROWS:
+        sized = F.broadcast(sized)
+    need, at, starts = _starts(threshold)
+    placed = hits.join(sized, "item").join(texts, ["_id", "_tx"]).withColumn("need", need).withColumn("at", at).select("doc_id", "item_id", "sh", "b", F.explode(starts).alias("start"))
+    placed = placed.select("doc_id", "item_id", "b", "start", F.slice("sh", F.col("start") + 1, F.size("b")).alias("a"))
+    scored = placed.select("doc_id", "item_id", F.size("b").cast("long").alias("n_shingles"), F.col("start").cast("long").alias("start"), _similarity(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("first")))
     return scored.groupBy("doc_id", "item_id", "n_shingles").agg(best.alias("best")).select("doc_id", "item_id", "n_shingles", (-F.col("best.first")).alias("start"), F.col("best.similarity").alias("similarity"))
