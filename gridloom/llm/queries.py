@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontamination, html_extract, language_id, line_dedup, packing, partenum, quality_classifier, quality_rules, simple8b, toxicity
+from gridloom.llm import bpe_tree, decontamination, html_extract, language_id, line_dedup, packing, partenum, quality_classifier, quality_rules, simple8b, toxicity
 from gridloom.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ s AS (SELECT w.doc_id, w.item_id, w.at, sum(w.n) AS a, sum(least(w.n, coalesce(b
 r AS (SELECT s.doc_id, s.item_id, m.m AS n_shingles, s.at AS start, CAST(s.both AS DOUBLE) / CAST(s.a + m.m - s.both AS DOUBLE) AS similarity FROM s JOIN m ON m.item_id = s.item_id)
 SELECT doc_id, item_id, n_shingles, CAST(start AS BIGINT) AS start, similarity FROM r WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.round_trip(_table(spark, sf_dir, "documents"), public_path("byte_bpe_multi_50k.tiktoken"))
