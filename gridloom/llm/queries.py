@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_tree, decontamination, html_extract, language_id, line_dedup, packing, partenum, quality_classifier, quality_rules, simple8b, toxicity
+from gridloom.llm import bpe_tree, decontamination, html_extract, language_id, line_dedup, packing, partenum, quality_classifier, quality_rules, simple8b, source_divergence, toxicity
 from gridloom.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,37 @@ SELECT doc_id, item_id, n_shingles, CAST(start AS BIGINT) AS start, similarity F
 @query
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip(_table(spark, sf_dir, "documents"), public_path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergences(_table(spark, sf_dir, "documents"), min_docs=30, best=50)
+
+
+ORACLES["op13_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+gn AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+ln AS (SELECT lang, sum(n) AS n FROM c GROUP BY ALL),
+lc AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000 * (coalesce(c.n, 0) + 5) // (coalesce(gn.n, 0) + 5 * v.v) AS p,
+    1 + 1000000000 * (lc.n + 5) // (ln.n + 5 * v.v) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang JOIN ln ON ln.lang = g.lang JOIN lc ON lc.lang = k.lang AND lc.term = k.term
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source
+),
+pr AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pr.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pr ON pr.lang = a.lang AND pr.source = a.source AND pr.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM grid WHERE n > 0 AND p > q
+),
+o AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 50
+"""
