@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_tree, decontamination, html_extract, language_id, line_dedup, packing, partenum, quality_classifier, quality_rules, simple8b, source_divergence, toxicity
+from gridloom.llm import bpe_tree, decontamination, filter_audit, html_extract, language_id, line_dedup, packing, partenum, quality_classifier, quality_rules, simple8b, source_divergence, toxicity
 from gridloom.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,40 @@ u AS (
 o AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
 SELECT * FROM o WHERE part = 'pair' OR rank <= 50
 """
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+y AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT w.part, coalesce(y.good, 0) AS good, coalesce(y.toxic, 0) AS toxic,
+    CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY x) THEN 16 ELSE 0 END AS mask
+  FROM w LEFT JOIN y ON y.doc_id = w.doc_id
+),
+b AS (SELECT 'A' AS f, 1 AS bit UNION ALL SELECT 'B', 2 UNION ALL SELECT 'C', 4 UNION ALL SELECT 'D', 8 UNION ALL SELECT 'E', 16),
+o AS (
+  SELECT b1.f || b2.f || b3.f || b4.f || b5.f AS filter_order, [b1.bit, b2.bit, b3.bit, b4.bit, b5.bit] AS bits FROM b b1, b b2, b b3, b b4, b b5
+  WHERE b1.bit + b2.bit + b3.bit + b4.bit + b5.bit = 31 AND (b1.bit | b2.bit | b3.bit | b4.bit | b5.bit) = 31
+),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS own, CASE WHEN step = 1 THEN 0 ELSE list_sum(bits[1:step - 1]) END AS earlier FROM o, range(1, 6) r(step)),
+m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+a AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER ((mask & own) = 0 AND (mask & earlier) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER ((mask & own) <> 0 AND (mask & earlier) = 0), 0) AS removed,
+    coalesce(sum(n) FILTER ((mask & own) <> 0 AND (mask & earlier) <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+    coalesce(sum(good) FILTER ((mask & own) <> 0 AND (mask & earlier) = 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER ((mask & own) <> 0 AND (mask & earlier) = 0), 0) AS toxic_lost
+  FROM (SELECT part, mask, n, good, toxic, filter_order, step, own, CAST(earlier AS BIGINT) AS earlier FROM m, s) GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM a
+"""

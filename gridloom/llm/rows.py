@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +82,13 @@ def map_texts(df: DataFrame, fn: Callable[[list, list], dict], schema: str, ids:
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.select(ids, text).mapInArrow(run, out)
+
+
+def text_slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``limit`` bytes of text each; a longer text is a run of its own."""
+    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    run = (np.cumsum(sizes) - sizes) // limit
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridloom.llm.rows import partitions, settle, unless_large
+from gridloom.llm.rows import partitions, settle, text_slices, unless_large
 
 # What separates terms, and the scale and smoothing of the shares.
 SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -42,16 +42,6 @@ _FOUND = "lang string, source string, part string, item string, value long"
 _FOUND_ARROW = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about ``SLICE_BYTES`` of text each; a longer text is a run of its own."""
-    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
-    run = (np.cumsum(sizes) - sizes) // SLICE_BYTES
-    edges = np.concatenate(([0], np.flatnonzero(np.diff(run)) + 1, [batch.num_rows]))
-    for a, b in zip(edges, edges[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def count_slice(batch: pa.RecordBatch) -> pa.Table:
     """Partial counts of one slice (``lang, source, text``): occurrences and rows by term; the term '' carries the rows of a group."""
     lang, source = (batch.column(i).dictionary_encode() for i in (0, 1))
@@ -89,7 +79,7 @@ def partial_counts(docs: DataFrame) -> DataFrame:
         held: list[pa.Table] = []
         size = 0
         for batch in batches:
-            for part in _slices(batch, 2):
+            for part in text_slices(batch, 2, SLICE_BYTES):
                 held.append(count_slice(part))
                 size += held[-1].num_rows
                 if size > HELD_ROWS:

@@ -82,7 +82,7 @@ def test_shares_are_exact_for_large_counts():
 
 def test_slices_hold_all_rows():
     batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 5), pa.array(["s"] * 5), pa.array(["a" * 5_000_000, "", "b", "c" * 5_000_000, "d"])], names=["lang", "source", "text"])
-    parts = list(S._slices(batch, 2))
+    parts = list(S.text_slices(batch, 2, S.SLICE_BYTES))
     assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and len(parts) > 1
 
 
