@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.rows import map_texts, text_rows
 from gridloom.llm.tokens import public_path
 
-CACHE_ENTRIES = 300_000
+CACHE_PIECES = 400_000
+CACHE_JOINS = 200_000
 CACHE_CHARS = 64
 BLOCK_CHARS = 1 << 16
 DECODE_LEAF = 4096
@@ -50,7 +51,6 @@ _NEVER = 1 << 32
 _LATIN = {r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"\p{N}": "0-9²³¹¼-¾", r"\s": "\t\n\x0b\x0c\r \x85\xa0"}
 _ANY = {r"\p{L}": r"\p{L}", r"\p{N}": r"\p{N}", r"\s": r"\p{White_Space}"}
 _SEAM = re.compile(r"(?<=\S) (?=\S)")
-_LOOSE = re.compile(r"\A | \s| \Z")
 
 
 def split_pattern(classes: dict[str, str]) -> str:
@@ -62,14 +62,14 @@ def split_pattern(classes: dict[str, str]) -> str:
 class _Cache(dict):
     """Values by key, made on demand; emptied when full, and long keys are never kept."""
 
-    def __init__(self, make):
+    def __init__(self, make, entries: int):
         super().__init__()
-        self.make = make
+        self.make, self.entries = make, entries
 
     def __missing__(self, key):
         value = self.make(key)
         if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.clear()
             self[key] = value
         return value
@@ -87,7 +87,8 @@ class RankBpe:
         self.packed = {token: rank.to_bytes(4, "little") for token, rank in self.ranks.items()}
         self.latin, self.any = re.compile(split_pattern(_LATIN)), regex.compile(split_pattern(_ANY))
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.pieces, self.spaced = _Cache(self._piece), _Cache(lambda word: self._matches(" " + word))
+        self.short = _Cache(self._merge_short, CACHE_JOINS)  # leaves and windows recur from word to word
+        self.pieces = _Cache(self._piece, CACHE_PIECES)
 
     # --- bytes of one match -------------------------------------------------------------
 
@@ -95,7 +96,7 @@ class RankBpe:
         """Greedy merging of ``data``: the lowest rank first, leftmost on ties; n log n by a heap of candidate pairs."""
         n = len(data)
         if n <= SHORT_BYTES:
-            return self._merge_short(data)
+            return self.short[data]
         nxt, prev, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         alive = [True] * n
         ranks = self.ranks
@@ -120,7 +121,7 @@ class RankBpe:
         return out
 
     def _merge_short(self, data: bytes) -> list[bytes]:
-        """The same for few bytes: the pair's rank stands beside its left part, the least one is searched anew each time."""
+        """The same for few bytes: a pair's rank stands beside its left part, the least one is searched anew each time."""
         parts = [data[i : i + 1] for i in range(len(data))]
         get = self.ranks.get
         costs = [get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
@@ -138,7 +139,7 @@ class RankBpe:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= CACHE_ENTRIES:
+            if len(self.pairs) >= CACHE_JOINS:
                 self.pairs.clear()
             known = self.pairs[key] = self.merge(left + right) == [left, right]
         return known
@@ -171,25 +172,18 @@ class RankBpe:
 
     # --- whole texts --------------------------------------------------------------------
 
-    def _matches(self, text: str) -> bytes:
-        try:
-            text.encode("latin-1")
-            found = self.latin.findall(text)
-        except UnicodeEncodeError:
-            found = self.any.findall(text)
-        return b"".join(map(self.pieces.__getitem__, found))
-
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit integers."""
         if len(text) > BLOCK_CHARS:
             seam = _SEAM.search(text, len(text) // 2) or _SEAM.search(text)
             if seam:
                 return self.encode(text[: seam.start()]) + self.encode(text[seam.start() :])
-        lead = text[:1] == " "
-        if _LOOSE.search(text, 1 if lead else 0):
-            return self._matches(text)
-        first, *rest = text.split(" ")  # every space is a seam
-        return (self._matches(first) if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
+        try:
+            text.encode("latin-1")
+            found = self.latin.findall(text)
+        except UnicodeEncodeError:
+            found = self.any.findall(text)
+        return b"".join(map(self.pieces.__getitem__, found))
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of packed ids, concatenated up the tree."""
