@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridloom.llm.rows import partitions, settle, text_slices, unless_large
+from gridloom.llm.rows import settle, text_slices, unless_large
 
 # What separates terms, and the scale and smoothing of the shares.
 SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -33,7 +33,7 @@ SCALE, SMOOTH = 1_000_000_000, 5
 
 SLICE_BYTES = 1 << 22
 HELD_ROWS = 1 << 20
-SHARD_ROWS = 1 << 20
+SHARD_ROWS = 1 << 18
 CELLS = 1 << 22
 
 COUNTS = "lang string, source string, term string, n long, docs long"
@@ -175,11 +175,10 @@ def kept_terms(found: DataFrame, min_docs: int) -> DataFrame:
 
 def divergences(docs: DataFrame, min_docs: int = 30, best: int = 50) -> DataFrame:
     """``lang, source, part, item, value, rank``: distances to the other sources of the language and the terms a source uses more than its language."""
-    spark = docs.sparkSession
     found = counts(docs)
     kept = settle(kept_terms(found, min_docs), "kept-terms")
     cells = settle(found.join(unless_large(kept.select("lang", "term")), ["lang", "term"], "left_semi").select("lang", "source", "term", "n"), "kept-counts")
-    shards = max(partitions(spark), -(-cells.count() // SHARD_ROWS))
+    shards = max(1, -(-cells.count() // SHARD_ROWS))
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("total").alias("in_lang"))
     sums = cells.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     groups = settle(
