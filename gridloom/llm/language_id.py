@@ -6,15 +6,16 @@ codeword is the logistic loss of its margins against the codeword's bits, weight
 reliable each bit was on the learning rows. The nearest codeword wins; where the runner-up is
 nearly as near, the row is flagged as ambiguous.
 
-Bound: at most ``PER_LANG`` rows per language are learned from; every row is scored over its whole text.
+Bound: the ``LANGS`` most common languages are learned, from at most ``PER_LANG`` rows each and about
+``LEARN_ROWS`` in all, none longer than ``samples.LEARN_CHARS``; every row is scored over its whole text.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +24,13 @@ from gridloom.llm.samples import fold, texts_of
 from gridloom.llm.textkit import lay_out
 
 PER_LANG, SALTS = 800, 100
+LANGS, LEARN_ROWS = 256, 8000
 FOLDS, HELD = 4, 2
 DIMS = 2048
 AMBIGUOUS = 0.6
 NO_LETTER = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _fold = np.full(256, 32, np.uint64)
 _fold[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = [*range(ord("a"), ord("z") + 1), *range(128, 256)]
 
@@ -109,14 +111,25 @@ def predict(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, ambiguous``, one row per input row.
 
     Texts that are null or have no letter get ``und`` with score 0, as do all texts when no language
-    can be learned. ``lang`` is read only from rows of the learning folds.
+    can be learned. ``lang`` is read only from rows of the learning folds; a repeated id is learned
+    from once for each of its languages. Repeated rows get equal results. Equally near codewords go
+    to the language that sorts first.
     """
+    spark = docs.sparkSession
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("doc_id"), folds) != held))
+    ids = ids.distinct()
+    common = ids.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(LANGS)
+    common = spark.createDataFrame([(r["y"],) for r in common.collect()], "y string")  # at most LANGS rows
+    each = min(PER_LANG, max(1, LEARN_ROWS // max(1, common.count())))
     # A common language is dealt over salts; a task keeps a few rows per (language, salt).
-    salted = ids.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    salted = ids.join(F.broadcast(common), "y").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
     rank = F.row_number().over(Window.partitionBy("y", "salt").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = salted.withColumn("rank", rank).where(F.col("rank") <= PER_LANG // SALTS).select("doc_id", "y")
-    sample = texts_of(docs, picked).where(F.length("text") > 0).orderBy("doc_id").collect()  # bounded: PER_LANG rows per language
+    few = salted.withColumn("rank", rank).where(F.col("rank") <= PER_LANG // SALTS)
+    again = F.row_number().over(Window.partitionBy("y").orderBy("rank", F.xxhash64("doc_id"), "doc_id"))
+    picked = few.select("doc_id", "y", again.alias("place")).where(F.col("place") <= each).select("doc_id", "y")
+    sample = sorted(texts_of(docs, picked, "y").where(F.length("text") > 0).collect(), key=lambda r: (r["doc_id"], r["y"]))
+    if len(sample) > each * LANGS:
+        raise AssertionError(f"{len(sample)} learning rows")
     sample = [r for r in sample if _LETTER.search(r["text"])]
     model = train([r["text"] for r in sample], [r["y"] for r in sample])
 

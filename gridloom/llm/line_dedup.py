@@ -164,7 +164,8 @@ def drop_lines(docs: DataFrame, state: LineState, found: DataFrame | None = None
     dropped. Equal rows lose equal lines. Any other columns ride along inside ``_row``.
     """
     found = line_keys(docs) if found is None else found
-    drops = frequent_lines(found, state).groupBy("_id", "_tx").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))  # at most the lines of one text
+    once = frequent_lines(found, state).dropDuplicates(["_id", "_tx", "hi", "lo"])  # equal rows have equal lines
+    drops = once.groupBy("_id", "_tx").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))  # at most the lines of one text
     packed = docs.select(F.struct("*").alias("_row"), *row_key()).join(drops, ["_id", "_tx"], "left")
     at = F.coalesce("at", F.array().cast("array<int>"))
     lines = F.split(F.coalesce(F.col("_row.text"), F.lit("")), "\n", -1)

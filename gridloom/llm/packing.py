@@ -144,5 +144,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     Empty table: no rows. Repeated rows are packed each for itself. Very long texts become
     several full pieces.
     """
-    cut = settle(pieces(docs, tokenizer, end_id, capacity), "pieces")
-    return pack(cut, capacity, ["doc_id", "tx", "piece"]).drop("tx")
+    # The number tells copies of a row apart, so they don't meet in one bucket; it is written and stays.
+    cut = settle(pieces(docs, tokenizer, end_id, capacity).withColumn("nr", F.monotonically_increasing_id()), "pieces")
+    return pack(cut, capacity, ["doc_id", "tx", "piece", "nr"]).drop("tx", "nr")

@@ -187,19 +187,32 @@ def _verify(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, num:
     return pairs.join(one, "a").join(two, "b").where(both * den >= (F.size("x") + F.size("y") - both) * num).select("a", "b").distinct()
 
 
-def with_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``docs`` with a ``_node`` that is never null, and the rows without an id, if there are any.
+NODE = "_node"
+
+
+def free_name(docs: DataFrame, name: str = NODE) -> str:
+    """``name``, with underscores before it until no column of ``docs`` is called so (case aside)."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def with_nodes(docs: DataFrame, node: str = NODE) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a column ``node`` that is never null, and the rows without an id, if there are any.
+
+    ``docs`` must not have a column of that name: ``free_name`` gives one.
 
     A row's node is its id. Each row without an id is a document of its own: it gets a number above all
     ids (below them, where ids use the upper half), and is written with it so that the number stays.
     """
     without = docs.where(F.col("doc_id").isNull())
     if without.isEmpty():
-        return docs.withColumn("_node", F.col("doc_id").cast("long")), None
+        return docs.withColumn(node, F.col("doc_id").cast("long")), None
     top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
     base = 1 << 62 if top is None or top < 1 << 62 else -(1 << 63)
-    numbered = settle(without.withColumn("_node", F.lit(base) + F.monotonically_increasing_id()), "no-id")
-    return docs.where(F.col("doc_id").isNotNull()).withColumn("_node", F.col("doc_id").cast("long")).unionByName(numbered), numbered
+    numbered = settle(without.withColumn(node, F.lit(base) + F.monotonically_increasing_id()), "no-id")
+    return docs.where(F.col("doc_id").isNotNull()).withColumn(node, F.col("doc_id").cast("long")).unionByName(numbered), numbered
 
 
 def similar_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import pu
 from gridloom.llm.rows import bundles, map_texts, text_rows
-from gridloom.llm.samples import clean_labels, fold, pick, texts_of
+from gridloom.llm.samples import clean_labels, distinct_ids, fold, gather, pick
 from gridloom.llm.textkit import Hasher, is_blank, lay_out, mix, shingles, spans
 
 POSITIVES, UNLABELLED, POOR = 4000, 8000, 3000
@@ -122,20 +122,20 @@ def score_documents(docs: DataFrame, labels: DataFrame, column: str = "quality",
     """``doc_id, held_out, score, predicted``, one row per input row.
 
     Labels of the held-out fold, ids, languages and sources never reach the model. Null and empty
-    texts are scored as texts without words. Without trusted positives every score is the same.
+    texts are scored as texts without words. Without trusted positives every score is the same. Repeated
+    rows get equal scores; a repeated id is learned from once, by one of its texts.
     """
     known = clean_labels(labels, column).where(fold(F.col("doc_id"), folds) != held)
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_poor = sizes.get(1, 0), sizes.get(0, 0)
     prior = min(max(n_pos / max(n_pos + n_poor, 1), 0.001), 0.999)
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held))
-    kinds = (("p", known.where("y = 1").select("doc_id"), n_pos, POSITIVES), ("n", known.where("y = 0").select("doc_id"), n_poor, POOR), ("u", learn, learn.count(), UNLABELLED))
+    kinds = (("p", known.where("y = 1").select("doc_id"), n_pos, POSITIVES), ("n", known.where("y = 0").select("doc_id"), n_poor, POOR), ("u", learn, distinct_ids(learn), UNLABELLED))
     picked = None
     for i, (kind, rows, n, limit) in enumerate(kinds):
         part = pick(rows, n, limit, seed=10 + i).withColumn("kind", F.lit(kind))
         picked = part if picked is None else picked.unionByName(part)
-    sample = sorted(texts_of(docs, picked).collect(), key=lambda r: (r["kind"], r["doc_id"]))  # bounded by the limits above
-    by = {k: [r["text"] or "" for r in sample if r["kind"] == k] for k in "pnu"}
+    by = gather(docs, picked, {"p": POSITIVES, "n": POOR, "u": UNLABELLED})
     model = train(by["p"], by["u"], by["n"], prior)
 
     def run(ids: list, texts: list) -> dict:

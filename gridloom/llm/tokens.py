@@ -20,7 +20,8 @@ _LETTERS, _DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
 # The public split patterns of the two tokenizers, with the character classes left open.
 _SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
 _FOLDED = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[{L}]+|[{N}]|[^\s{L}{N}]+"
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0]|<\\|")
+# U+0130 is the one sign whose lower case has two signs; the second belongs to what follows.
+_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u0130]|<\\|")
 
 
 def _byte_spelling() -> dict[int, str]:
