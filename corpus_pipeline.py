@@ -24,28 +24,35 @@ from gridloom.llm.tokens import public_path
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text the quality rules keep, with all their columns. Null and empty texts go; repeated rows share a verdict."""
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the lines that ten or more documents hold; ``n_chars`` is the length of what is left. Null text becomes empty."""
     kept, _ = line_dedup.dedup(docs, min_docs=10, by_id=True)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return kept.select(*[new.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, _ = partenum.with_nodes(docs)
-    classes = partenum.node_classes(rows.select(F.col("_node").alias("doc_id"), "text"), k=5, num=80, den=100)
-    return rows.join(classes.where("component_id = doc_id").select(F.col("doc_id").alias("_node")).distinct(), "_node", "left_semi").select(*docs.columns)
+    """One document of each class of near copies: that with the smallest id, with all its rows; a row without an id is a document of its own and comes last."""
+    node = partenum.free_name(docs)
+    rows, _ = partenum.with_nodes(docs, node)
+    classes = partenum.node_classes(rows.select(F.col(node).alias("doc_id"), "text"), k=5, num=80, den=100)
+    return rows.join(classes.where("component_id = doc_id").select(F.col("doc_id").alias(node)).distinct(), node, "left_semi").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, _ = partenum.with_nodes(docs)
-    found = decontamination.leaks(rows.select(F.col("_node").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), threshold=0.8)
-    return rows.join(found.select(F.col("doc_id").alias("_node")).distinct(), "_node", "left_anti").select(*docs.columns)
+    """Documents without a window that shares four fifths of an item of ``benchmark``; all rows of an id go together."""
+    node = partenum.free_name(docs)
+    rows, _ = partenum.with_nodes(docs, node)
+    found = decontamination.leaks(rows.select(F.col(node).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), threshold=0.8)
+    return rows.join(found.select(F.col("doc_id").alias(node)).distinct(), node, "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of every row and their places in sequences of at most 4096 tokens."""
     return packing.pack_documents(docs, public_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
