@@ -53,7 +53,7 @@ def p26(spark, d):
                                                F.count_if((F.col("a") > 0) & (F.col("a") < 255)).alias("soft"))
 
 
-def corner_sql(src: str, size: int, name: str = "cm") -> str:
+def corner_sql(src: str, size: int | str, name: str = "cm") -> str:
     t = f"((x<{size})::INT+(x>=w-{size})::INT)*((y<{size})::INT+(y>=h-{size})::INT)"
     return f"{name} AS (SELECT asset_id, " + ", ".join(f"sum({c}*{t})::DOUBLE/sum({t}) AS bg_{c}" for c in "rgba") + f" FROM {src} GROUP BY 1)"
 
@@ -79,14 +79,14 @@ _TOP2 = """tp AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY n
   (SELECT asset_id, bucket, sum(t)::BIGINT AS n, sum(r*t) AS sr, sum(g*t) AS sg, sum(b*t) AS sb FROM bp GROUP BY 1,2))"""
 
 
-def _border(src):
+def model_sql(src: str) -> str:
     q = lambda k, c: f"max({rnd(f's{c}::DOUBLE/n')}) FILTER (rk={k}) AS {c}{k}"
     return f"""{border_sql(src,1,True)}, {_TOP2}, two AS (SELECT asset_id, max(n) FILTER (rk=1) AS n1, max(n) FILTER (rk=2) AS n2, {q(1,'r')},{q(1,'g')},{q(1,'b')},{q(2,'r')},{q(2,'g')},{q(2,'b')} FROM tp GROUP BY 1)
  SELECT asset_id, r1*65536+g1*256+b1 AS first, CASE WHEN n2 IS NOT NULL AND n2>=n1*0.2e0 AND r1+g1+b1>540 AND r2+g2+b2>540 AND greatest(r1,g1,b1)-least(r1,g1,b1)<=24
   AND greatest(r2,g2,b2)-least(r2,g2,b2)<=24 AND abs(r1+g1+b1-r2-g2-b2)<=180 THEN r2*65536+g2*256+b2 ELSE -1 END AS second, n1, coalesce(n2,0) AS n2 FROM two"""
 
 
-@query("a08_border_model", f"WITH {PX_PART}, " + _border("px_part"))
+@query("a08_border_model", f"WITH {PX_PART}, " + model_sql("px_part"))
 def a08(spark, d):
     return A.border_model(corpora.px_part(spark, d)).withColumn("second", F.coalesce("second", F.lit(-1)))
 

@@ -64,7 +64,9 @@ def _grn(r, g, b):
 _SP = "(greatest(r,g,b)-least(r,g,b))"
 _KS = ["sn", "so", "sr", "sg", "sb", "sa"]
 _win = lambda w, rad, sfx, src: ", ".join(f"sum({src(c)}) OVER ({w} ROWS BETWEEN {rad} PRECEDING AND {rad} FOLLOWING) AS {c}{rad}{sfx}" for c in _KS)
-_HALO = f"""{corner_sql('px_part', 6)}, d0 AS (SELECT p.*, bg_r, bg_g, bg_b, bg_a, round((r-bg_r)*(r-bg_r)+(g-bg_g)*(g-bg_g)+(b-bg_b)*(b-bg_b),6) AS dist, {_SP}<=36 AND r+g+b>=540 AS pale FROM px_part p JOIN cm USING (asset_id)),
+def halo_sql(src: str, size: int | str, name: str = "cm") -> str:
+    """CTEs ``d0 .. d10`` over ``src``; the last has the ``action`` and the means ``pr, pg, pb, pa`` and ``bg_*`` it needs."""
+    return f"""{corner_sql(src, size, name)}, d0 AS (SELECT p.*, bg_r, bg_g, bg_b, bg_a, round((r-bg_r)*(r-bg_r)+(g-bg_g)*(g-bg_g)+(b-bg_b)*(b-bg_b),6) AS dist, {_SP}<=36 AND r+g+b>=540 AS pale FROM {src} p JOIN {name} USING (asset_id)),
  d1 AS (SELECT *, a<=8 OR dist<=972 AS outs, a>8 AND (CASE WHEN a<220 THEN dist<=6912 OR pale ELSE dist<=6912 END) AS halo, a>8 AND NOT {_grn('bg_r','bg_g','bg_b')} AND {_grn('r','g','b')} AS chroma FROM d0),
  d2 AS (SELECT *, NOT outs AND NOT halo AND NOT chroma AND NOT pale AS subj FROM d1),
  d3 AS (SELECT *, subj::INT AS sn, outs::INT AS so, {', '.join(f'CASE WHEN subj THEN {c} ELSE 0 END AS s{c}' for c in 'rgba')} FROM d2),
@@ -79,6 +81,9 @@ _HALO = f"""{corner_sql('px_part', 6)}, d0 AS (SELECT p.*, bg_r, bg_g, bg_b, bg_
    WHEN halo AND (x=0 OR y=0 OR x=w-1 OR y=h-1) AND dist<=972 THEN 'keep' WHEN NOT halo AND NOT chroma AND NOT contr AND bg_a<=8 AND pale THEN 'clear' WHEN NOT halo AND NOT chroma AND NOT contr THEN 'keep' ELSE 'correct' END AS action FROM d9)"""
 
 
+_HALO = halo_sql("px_part", 6)
+
+
 @query("x06_halo_removal", f"""WITH {PX_PART}, {_HALO} SELECT asset_id, idx, action,
  {', '.join(f"(CASE action WHEN 'clear' THEN 0 WHEN 'fill' THEN {rnd('bg_' + c)} WHEN 'correct' THEN p{c} ELSE {c} END)::BIGINT AS {c}" for c in 'rgb')}, (CASE action WHEN 'clear' THEN 0 WHEN 'correct' THEN greatest(a,pa) ELSE a END)::BIGINT AS a FROM d10""")
 def x06(spark, d):
@@ -89,7 +94,8 @@ _N8 = ", ".join(f"{f} AS n{i}{j}" for i, j, f in [(0, 0, "lag(l0) OVER v"), (0,
 _same = lambda dx, dy: f"coalesce(n{dy+1}{dx+1}=k,false)"
 
 
-def _lines(high: bool) -> str:
+def lines_sql(src: str, high: bool, k: str = "k") -> str:
+    """CTEs ``{k}0 .. {k}3`` over ``src``; the last has ``jagged`` and the replacement ``rep`` (packed rgba)."""
     s = _same
     low = f"""CASE WHEN NOT {s(-1,0)} AND NOT {s(1,0)} AND {s(0,-1)}<>{s(0,1)} AND (CASE WHEN {s(0,-1)} THEN {s(-1,-1)} AND {s(1,-1)} ELSE {s(-1,1)} AND {s(1,1)} END) THEN true
       WHEN NOT {s(0,-1)} AND NOT {s(0,1)} AND {s(-1,0)}<>{s(1,0)} AND (CASE WHEN {s(-1,0)} THEN {s(-1,-1)} AND {s(-1,1)} ELSE {s(1,-1)} AND {s(1,1)} END) THEN true ELSE false END"""
@@ -97,9 +103,13 @@ def _lines(high: bool) -> str:
       OR ({s(-1,0)} AND {s(0,-1)} AND {s(1,-1)} AND NOT {s(-1,1)}) OR ({s(1,0)} AND {s(0,1)} AND {s(-1,1)} AND NOT {s(1,-1)}))"""
     ring = [f"n{i}{j}" for i in range(3) for j in range(3) if (i, j) != (1, 1)]
     rep = "coalesce(" + ", ".join(f"CASE WHEN {c}<>k AND {c}%256<128 THEN {c} END" for c in reversed(ring)) + ", " + ", ".join(f"CASE WHEN {c}<>k THEN {c} END" for c in ring) + ", 0)"
+    return f"""{k}0 AS (SELECT *, r*16777216+g*65536+b*256+a AS k FROM {src}), {k}1 AS (SELECT *, lag(k) OVER q AS l0, lead(k) OVER q AS r0 FROM {k}0 WINDOW {RW}), {k}2 AS (SELECT *, {_N8} FROM {k}1 WINDOW {CW}),
+ {k}3 AS (SELECT *, a>=128 AND (({low}){' OR (' + hi + ')' if high else ''}) AS jagged, {rep} AS rep FROM {k}2)"""
+
+
+def _lines(high: bool) -> str:
     return f"""WITH {PX_VEC}, src AS (SELECT asset_id, idx, x, y, (r//64)*64 AS r, 0 AS g, 0 AS b, CASE WHEN r<64 THEN 0 ELSE 255 END AS a FROM px_vec),
- k0 AS (SELECT *, r*16777216+g*65536+b*256+a AS k FROM src), k1 AS (SELECT *, lag(k) OVER q AS l0, lead(k) OVER q AS r0 FROM k0 WINDOW {RW}), k2 AS (SELECT *, {_N8} FROM k1 WINDOW {CW}),
- k3 AS (SELECT *, a>=128 AND (({low}){' OR (' + hi + ')' if high else ''}) AS jagged, {rep} AS rep FROM k2)
+ {lines_sql('src', high)}
  SELECT asset_id, idx, CASE WHEN jagged THEN rep ELSE k END::BIGINT AS rgba, jagged FROM k3"""
 
 
