@@ -108,6 +108,29 @@ def px_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
         paint(47, 23).alias("r"), paint(83, 71).alias("g"), paint(131, 113).alias("b"), F.when(inside, 255).otherwise(0).cast("long").alias("a"))
 
 
+#: DuckDB statement of ``px_wide``.
+PX_WIDE = """px_wide AS (
+  SELECT asset_id, y*170+x AS idx, x, y, 170::BIGINT AS w, 150::BIGINT AS h,
+    CASE WHEN bg THEN 240 WHEN sp THEN 226+(x*5+y*3)%13 ELSE (hh*47+23)%200 END AS r, CASE WHEN bg THEN 240 WHEN sp THEN 230+(x+y*7)%11 ELSE (hh*83+71)%200 END AS g,
+    CASE WHEN bg THEN 240 WHEN sp THEN 232+(x*3+y)%13 ELSE (hh*131+113)%200 END AS b, CASE WHEN bg THEN 0 ELSE 255 END::BIGINT AS a
+  FROM (SELECT *, least(x,y,169-x,149-y)<3 AS bg, least(x,y,169-x,149-y)<25+asset_id*9 AND (x*7+y*3+asset_id)%19<>0 AS sp, (asset_id*31+x//8*7+y//8*13)%11 AS hh FROM (
+    SELECT r_regionkey::BIGINT AS asset_id, x, y FROM region, (SELECT range AS x FROM range(170)), (SELECT range AS y FROM range(150)))))"""
+
+
+def px_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """170x150 rasters, one per region: clear rim, a spill of 22 to 58 rings with gaps in it, blocks inside."""
+    zero = F.lit(0).cast("long")
+    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("asset_id")).withColumn("y", F.explode(F.sequence(zero, F.lit(149).cast("long"))))
+    px = _spread(rows).withColumn("x", F.explode(F.sequence(zero, F.lit(169).cast("long"))))
+    k, x, y = F.col("asset_id"), F.col("x"), F.col("y")
+    depth = F.least(x, y, 169 - x, 149 - y)
+    bg, sp, h = depth < 3, (depth < 25 + k * 9) & ((x * 7 + y * 3 + k) % 19 != 0), (k * 31 + F.shiftright(x, 3) * 7 + F.shiftright(y, 3) * 13) % 11
+    paint = lambda spill, m, c: F.when(bg, 240).when(sp, spill).otherwise((h * m + c) % 200).cast("long")
+    return px.select(
+        "asset_id", (y * 170 + x).alias("idx"), "x", "y", F.lit(170).cast("long").alias("w"), F.lit(150).cast("long").alias("h"),
+        paint(226 + (x * 5 + y * 3) % 13, 47, 23).alias("r"), paint(230 + (x + y * 7) % 11, 83, 71).alias("g"), paint(232 + (x * 3 + y) % 13, 131, 113).alias("b"), F.when(bg, 0).otherwise(255).cast("long").alias("a"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sprite frames, one per order line; duplicate names occur by design.
 
