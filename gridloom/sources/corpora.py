@@ -131,6 +131,33 @@ def px_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         paint(226 + (x * 5 + y * 3) % 13, 47, 23).alias("r"), paint(230 + (x + y * 7) % 11, 83, 71).alias("g"), paint(232 + (x * 3 + y) % 13, 131, 113).alias("b"), F.when(bg, 0).otherwise(255).cast("long").alias("a"))
 
 
+#: DuckDB statement of ``px_backdrop``.
+PX_BACKDROP = """px_backdrop AS (
+  SELECT asset_id, y*64+x AS idx, x, y, 64::BIGINT AS w, 48::BIGINT AS h, CASE WHEN sub THEN 30+(x*7+y)%40 ELSE base+tint*40 END AS r, CASE WHEN sub THEN 60+(x+y*5)%50 ELSE base END AS g,
+    CASE WHEN sub THEN 120+asset_id ELSE greatest(0, base-tint*60) END AS b, CASE WHEN kind=4 AND NOT sub THEN 0 ELSE 255 END::BIGINT AS a
+  FROM (SELECT *, CASE kind WHEN 0 THEN 180+(x*3+y*5+asset_id)%4 WHEN 1 THEN CASE WHEN x+y<40+asset_id THEN 210 ELSE 110+(x+y)%3 END WHEN 2 THEN CASE WHEN (((x+sh)//cs)+((y+sh)//cs))%2=0 THEN 240 ELSE 204 END ELSE 130+x+y//2 END AS base,
+      CASE WHEN kind<2 AND asset_id%2=0 THEN 1 ELSE 0 END AS tint, x BETWEEN 14 AND 49 AND y BETWEEN 12 AND 36 AND (x+y*2)%23<>0 OR (x BETWEEN 20 AND 24+asset_id%3 AND y>36) AS sub FROM (
+    SELECT n_nationkey::BIGINT AS asset_id, x, y, n_nationkey%5 AS kind, CASE n_nationkey//5 WHEN 0 THEN 4 WHEN 1 THEN 8 WHEN 2 THEN 16 WHEN 3 THEN 6 ELSE 12 END AS cs, n_nationkey%4 AS sh FROM nation, (SELECT range AS x FROM range(64)), (SELECT range AS y FROM range(48)))))"""
+
+
+def px_backdrop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64x48 rasters, one per nation: a subject before a plain, two-coloured, chequered, graded or clear backdrop."""
+    zero = F.lit(0).cast("long")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("asset_id")).withColumn("y", F.explode(F.sequence(zero, F.lit(47).cast("long"))))
+    px = _spread(rows).withColumn("x", F.explode(F.sequence(zero, F.lit(63).cast("long"))))
+    k, x, y = F.col("asset_id"), F.col("x"), F.col("y")
+    cs = F.element_at(F.array(*[F.lit(c) for c in (4, 8, 16, 6, 12)]), (F.floor(k / 5) + 1).cast("int"))
+    even = (_div(x + k % 4, cs) + _div(y + k % 4, cs)) % 2 == 0
+    kind = k % 5
+    base = F.when(kind == 0, 180 + (x * 3 + y * 5 + k) % 4).when(kind == 1, F.when(x + y < 40 + k, 210).otherwise(110 + (x + y) % 3)).when(kind == 2, F.when(even, 240).otherwise(204)).otherwise(130 + x + _div(y, 2))
+    tint = F.when((kind < 2) & (k % 2 == 0), 1).otherwise(0)
+    sub = (x.between(14, 49) & y.between(12, 36) & ((x + y * 2) % 23 != 0)) | ((x >= 20) & (x <= 24 + k % 3) & (y > 36))
+    paint = lambda inner, outer: F.when(sub, inner).otherwise(outer).cast("long")
+    return px.select(
+        "asset_id", (y * 64 + x).alias("idx"), "x", "y", F.lit(64).cast("long").alias("w"), F.lit(48).cast("long").alias("h"), paint(30 + (x * 7 + y) % 40, base + tint * 40).alias("r"), paint(60 + (x + y * 5) % 50, base).alias("g"),
+        paint(120 + k, F.greatest(F.lit(0), base - tint * 60)).alias("b"), F.when((kind == 4) & ~sub, 0).otherwise(255).cast("long").alias("a"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sprite frames, one per order line; duplicate names occur by design.
 
