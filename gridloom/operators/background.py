@@ -24,7 +24,7 @@ VISIBLE, MIN_THRESHOLD, MAX_THRESHOLD = 16, 0.02, 0.1
 SECOND_SHARE, SECOND_DISTANCE, MEMBER_DISTANCE = 0.18, 0.06, 0.12
 MAX_CHROMA, MIN_LIGHTNESS_STEP, MAX_DEVIATION, MIN_AGREEMENT = 0.04, 0.04, 0.025, 0.85
 CELLS = (4, 5, 6, 8, 10, 12, 16, 20, 24, 32)
-MODEL = ["asset_id", "kind", "first", "second", "threshold", "confidence", "cell", "phase_x", "phase_y", "score"]
+MODEL = ["asset_id", "kind", "first", "second", "threshold", "confidence", "cell", "phase_x", "phase_y", "score", "radius1", "radius2"]
 _LAB = ("l", "a", "b")
 
 
@@ -80,8 +80,14 @@ def _nearest(colors: DataFrame, centres: DataFrame) -> DataFrame:
     return colors.join(centres, "asset_id").withColumn("d", F.least(_distance(F.col("ok"), F.col("lab1")), _distance(F.col("ok"), F.col("lab2"))))
 
 
+def _radius(colors: DataFrame, both: DataFrame, lab: str, name: str) -> DataFrame:
+    """Largest distance to a centre among its members, 0 without any."""
+    j = colors.join(both.select("asset_id", F.col(lab).alias("m")), "asset_id").withColumn("d", _distance(F.col("ok"), F.col("m"))).where(F.col("d") <= MEMBER_DISTANCE)
+    return j.groupBy("asset_id").agg(F.round(F.max("d"), 6).alias(name))
+
+
 def checkerboards(edge: DataFrame) -> DataFrame:
-    """``asset_id, cell, phase_x, phase_y, score, lab1, lab2, first, second``: the best board of each asset that has one."""
+    """``asset_id, cell, phase_x, phase_y, score`` and both tones (mean OKLab ``b1, b2``, packed ``f1, f2``, deviation ``w1, w2``): the best board of each asset that has one."""
     ok = F.col("ok")
     chroma = ok["a"] * ok["a"] + ok["b"] * ok["b"]
     # Two tight clusters of low chroma keep the mean square chroma below the sum of both bounds, and differ in lightness.
@@ -112,12 +118,17 @@ def checkerboards(edge: DataFrame) -> DataFrame:
     late = F.col("cell") == 16
     sign = F.when(late, 1).otherwise(-1)
     order = F.struct("score", late.cast("int"), sign * F.col("cell"), sign * F.col("phase_x"), sign * F.col("phase_y"))
-    best = good.groupBy("asset_id").agg(F.max_by(F.struct("cell", "phase_x", "phase_y", "score"), order).alias("b")).select("asset_id", "b.*")
-    return best.join(two, board).select("asset_id", "cell", "phase_x", "phase_y", "score", F.col("m0").alias("lab1"), F.col("m1").alias("lab2"), F.col("rgb0").alias("first"), F.col("rgb1").alias("second"))
+    best = good.groupBy("asset_id").agg(F.max_by(F.struct("cell", "phase_x", "phase_y", "score", "s0", "s1"), order).alias("b")).select("asset_id", "b.*")
+    return best.join(two, board).select("asset_id", "cell", "phase_x", "phase_y", "score", F.col("m0").alias("b1"), F.col("m1").alias("b2"), F.col("rgb0").alias("f1"), F.col("rgb1").alias("f2"), F.round("s0", 6).alias("w1"), F.round("s1", 6).alias("w2"))
 
 
 def background_model(px: DataFrame) -> DataFrame:
-    """One row per asset (columns of ``MODEL``): kind, one or two packed colours, OKLab threshold, confidence, and the board if there is one.
+    """One row per asset (columns of ``MODEL``), see ``background_clusters``."""
+    return background_clusters(px).select(*MODEL)
+
+
+def background_clusters(px: DataFrame) -> DataFrame:
+    """One row per asset, the columns of ``MODEL`` and the OKLab centres ``lab1, lab2`` with radii ``radius1, radius2``: kind, one or two packed colours, OKLab threshold, confidence, and the board if there is one.
 
     Assets whose border is almost clear, or without visible rim pixels, get the colour of their
     first pixel, the least threshold and confidence 0.
@@ -134,6 +145,7 @@ def background_model(px: DataFrame) -> DataFrame:
     far = (F.col("n2") / F.col("n1") >= SECOND_SHARE) & (_distance(F.col("lab1"), F.col("lab2")) > SECOND_DISTANCE)
     keep = F.coalesce(far, F.lit(False))
     both = both.select("asset_id", "n1", "n2", "first", F.when(keep, F.col("second")).alias("second"), "lab1", F.when(keep, F.col("lab2")).alias("lab2"))
+    both = both.join(_radius(colors, both, "lab1", "radius1"), "asset_id", "left").join(_radius(colors, both, "lab2", "radius2"), "asset_id", "left")
     boards = cut_lineage(checkerboards(edge))
 
     dist = _nearest(colors, both.select("asset_id", "lab1", "lab2"))
@@ -144,13 +156,14 @@ def background_model(px: DataFrame) -> DataFrame:
     grey = F.when(C.spread(r, g, b) <= 28, r + g + b)
     neutral = colors.groupBy("asset_id").agg(((F.sum(F.when(grey.isNotNull(), F.col("n")).otherwise(0)) >= F.sum("n") * F.lit(0.9)) & (F.max(grey) - F.min(grey) >= 36)).alias("neutral"))
     d = both.join(med, "asset_id").join(mad, "asset_id").join(q95, "asset_id").join(neutral, "asset_id").join(
-        boards.select("asset_id", "cell", "phase_x", "phase_y", "score", F.col("lab1").alias("b1"), F.col("lab2").alias("b2"), F.col("first").alias("f1"), F.col("second").alias("f2")), "asset_id", "left")
+        boards, "asset_id", "left")
     wide = F.greatest(F.col("q95"), F.col("med") + F.col("mad") * F.lit(3 * 1.4826))
     wide = F.when(F.col("cell").isNull() & F.coalesce("neutral", F.lit(False)), F.greatest(wide, F.lit(MAX_THRESHOLD))).otherwise(wide)
     d = d.withColumn("threshold", F.round(F.greatest(F.lit(MIN_THRESHOLD), F.least(F.lit(MAX_THRESHOLD), wide)), 6))
     board = F.col("cell").isNotNull()
     d = d.select("asset_id", "n1", "n2", "threshold", "cell", "phase_x", "phase_y", "score", F.when(board, F.col("f1")).otherwise(F.col("first")).alias("first"), F.when(board, F.col("f2")).otherwise(F.col("second")).alias("second"),
-                 F.when(board, F.col("b1")).otherwise(F.col("lab1")).alias("lab1"), F.when(board, F.col("b2")).otherwise(F.col("lab2")).alias("lab2"))
+                 F.when(board, F.col("b1")).otherwise(F.col("lab1")).alias("lab1"), F.when(board, F.col("b2")).otherwise(F.col("lab2")).alias("lab2"),
+                 F.when(board, F.col("w1")).otherwise(F.coalesce("radius1", F.lit(0.0))).alias("radius1"), F.when(board, F.col("w2")).when(F.col("second").isNotNull(), F.coalesce("radius2", F.lit(0.0))).alias("radius2"))
     d = cut_lineage(d)
 
     size = edge.groupBy("asset_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
@@ -162,9 +175,10 @@ def background_model(px: DataFrame) -> DataFrame:
     quality = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(MAX_THRESHOLD) - F.col("threshold")) / F.lit(MAX_THRESHOLD - MIN_THRESHOLD)))
     conf = F.greatest(F.col("part") * F.col("part") * 0.5 + quality * 0.3 + (F.col("n1") - F.col("n2")) / F.col("n1") * 0.2, F.coalesce("score", F.lit(0.0)))
     kind = F.when(F.col("cell").isNotNull(), "checkerboard").when(F.col("second").isNotNull(), "multi").otherwise("solid")
-    known = d.select("asset_id", kind.alias("kind"), "first", "second", "threshold", (F.floor(F.round(F.least(F.lit(1.0), conf), 9) * 1000 + 0.5) / 1000).alias("confidence"), "cell", "phase_x", "phase_y", "score")
+    known = d.select("asset_id", kind.alias("kind"), "first", "second", "threshold", (F.floor(F.round(F.least(F.lit(1.0), conf), 9) * 1000 + 0.5) / 1000).alias("confidence"), "cell", "phase_x", "phase_y", "score", "lab1", "lab2", "radius1", "radius2")
     start = px.where("idx = 0").select("asset_id", C.pack(F.col("r"), F.col("g"), F.col("b")).alias("first")).join(known.select("asset_id"), "asset_id", "left_anti")
     null = lambda t, n: F.lit(None).cast(t).alias(n)
-    rest = start.select("asset_id", F.lit("solid").alias("kind"), "first", null("long", "second"), F.lit(MIN_THRESHOLD).alias("threshold"), F.lit(0.0).alias("confidence"),
-                        null("int", "cell"), null("long", "phase_x"), null("long", "phase_y"), null("double", "score"))
-    return known.unionByName(rest).select(*MODEL)
+    own = start.withColumn("lab1", C.oklab_struct(F.col("first")))
+    rest = own.select("asset_id", F.lit("solid").alias("kind"), "first", null("long", "second"), F.lit(MIN_THRESHOLD).alias("threshold"), F.lit(0.0).alias("confidence"),
+                        null("int", "cell"), null("long", "phase_x"), null("long", "phase_y"), null("double", "score"), "lab1", F.when(F.lit(False), F.col("lab1")).alias("lab2"), F.lit(0.0).alias("radius1"), null("double", "radius2"))
+    return known.unionByName(rest)
