@@ -158,6 +158,30 @@ def px_backdrop(spark: SparkSession, sf_dir: str) -> DataFrame:
         paint(120 + k, F.greatest(F.lit(0), base - tint * 60)).alias("b"), F.when((kind == 4) & ~sub, 0).otherwise(255).cast("long").alias("a"))
 
 
+#: DuckDB statement of ``px_shell``: ``kind`` 0 the final raster, 1 its source, 2 the raster before outlining.
+PX_SHELL = """px_shell AS (
+  SELECT asset_id, kind, y*40+x AS idx, x, y, 40::BIGINT AS w, 32::BIGINT AS h, CASE WHEN v=0 THEN 250 WHEN v=1 THEN 90+(x*3+y)%20 WHEN v=2 THEN 20 ELSE 60+(x+y*2)%90 END AS r,
+    CASE WHEN v=0 THEN 250 WHEN v=1 THEN 92+(x*3+y)%20 WHEN v=2 THEN 24 ELSE 150-(x*y)%70 END AS g, CASE WHEN v=0 THEN 250 WHEN v=1 THEN 96+(x*3+y)%20 WHEN v=2 THEN 40 ELSE 40+asset_id*5 END AS b, CASE WHEN v=0 AND kind<>1 THEN 0 ELSE 255 END::BIGINT AS a
+  FROM (SELECT *, CASE WHEN e>=130+asset_id THEN 0 WHEN e>=100 THEN CASE WHEN (x*7+y*3+asset_id+kind)%5=0 THEN 0 ELSE 1 END WHEN e>=75 THEN CASE WHEN kind=2 OR (x+y*2)%11=0 THEN 1 ELSE 2 END ELSE CASE WHEN (x*5+y*3)%17=0 THEN 1 ELSE 3 END END AS v FROM (
+    SELECT n_nationkey::BIGINT AS asset_id, kind, x, y, (x-20)*(x-20)+(y-16)*(y-16) AS e FROM nation, (SELECT range AS kind FROM range(3)), (SELECT range AS x FROM range(40)), (SELECT range AS y FROM range(32)))))"""
+
+
+def px_shell(spark: SparkSession, sf_dir: str, kind: int) -> DataFrame:
+    """40x32 rasters, one per nation: a disc with an outline and grey left around it; ``kind`` as in ``PX_SHELL``."""
+    zero = F.lit(0).cast("long")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("asset_id")).withColumn("y", F.explode(F.sequence(zero, F.lit(31).cast("long"))))
+    px = _spread(rows).withColumn("x", F.explode(F.sequence(zero, F.lit(39).cast("long"))))
+    k, x, y = F.col("asset_id"), F.col("x"), F.col("y")
+    e = (x - 20) * (x - 20) + (y - 16) * (y - 16)
+    rim = F.lit(1) if kind == 2 else F.when((x + y * 2) % 11 == 0, 1).otherwise(2)
+    v = F.when(e >= 130 + k, 0).when(e >= 100, F.when((x * 7 + y * 3 + k + kind) % 5 == 0, 0).otherwise(1)).when(e >= 75, rim).otherwise(F.when((x * 5 + y * 3) % 17 == 0, 1).otherwise(3))
+    pick = lambda a, b, c, d: F.when(v == 0, a).when(v == 1, b).when(v == 2, c).otherwise(d).cast("long")
+    grey = (x * 3 + y) % 20
+    return px.select(
+        "asset_id", (y * 40 + x).alias("idx"), "x", "y", F.lit(40).cast("long").alias("w"), F.lit(32).cast("long").alias("h"), pick(250, 90 + grey, 20, 60 + (x + y * 2) % 90).alias("r"),
+        pick(250, 92 + grey, 24, 150 - (x * y) % 70).alias("g"), pick(250, 96 + grey, 40, 40 + k * 5).alias("b"), F.when((v == 0) & F.lit(kind != 1), 0).otherwise(255).cast("long").alias("a"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sprite frames, one per order line; duplicate names occur by design.
 
