@@ -124,10 +124,12 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
     bench = settle(with_shingles(bench).where("size(sh) > 0"), "items")
     kind = F.coalesce(*[F.when(F.size("sh") >= least, F.lit(i)) for i, (_, _, least) in enumerate(CLASSES)])
     used = sorted(r[0] for r in bench.select(kind).distinct().collect())  # at most one row per class
-    source = text_rows(docs).select("doc_id", *row_key(), "text")
     if not used:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shingles long, start long, similarity double")
 
+    # Written once: fingerprints, shared shingles and the comparison all read these arrays.
+    texts = settle(with_shingles(text_rows(docs).select("doc_id", *row_key(), "text")), "document-shingles").where("size(sh) > 0")
+
     item_windows = None
     for i in used:
         size = CLASSES[i][0]
@@ -139,20 +141,20 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
         index = F.broadcast(index)
 
     every = F.concat(*[F.coalesce(_windows(*CLASSES[i][:2]), F.array().cast("array<struct<size:int,start:int,w:array<bigint>>>")) for i in used])
-    windows = with_shingles(source).select("doc_id", "_id", "_tx", F.explode(every).alias("e")).select("doc_id", "_id", "_tx", "e.*")
+    windows = texts.select("_id", "_tx", F.explode(every).alias("e")).select("_id", "_tx", "e.*")
     near = _blocks(_fingerprint(windows)).join(index, "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     rare = settle(_rare_shingles(bench, threshold), "item-shingles")
     if rare.count() <= INDEX_ROWS:
         rare = F.broadcast(rare)
-    shared = with_shingles(source).select("_id", "_tx", F.explode(F.array_distinct("sh")).alias("h")).join(rare, "h")
+    shared = texts.select("_id", "_tx", F.explode(F.array_distinct("sh")).alias("h")).join(rare, "h")
     hits = settle(near.select("_id", "_tx", "item").unionByName(shared.select("_id", "_tx", "item")).distinct(), "candidates")
 
-    texts = with_shingles(source.join(hits.select("_id", "_tx").distinct(), ["_id", "_tx"], "left_semi").distinct())
+    held = texts.join(hits.select("_id", "_tx").distinct(), ["_id", "_tx"], "left_semi").dropDuplicates(["_id", "_tx"])  # equal rows once
     sized = bench.select("item", "item_id", F.col("sh").alias("b"))
     if (sized.agg(F.sum(F.size("b"))).first()[0] or 0) <= INDEX_ROWS:
         sized = F.broadcast(sized)
     need, at, starts = _starts(threshold)
-    placed = hits.join(sized, "item").join(texts, ["_id", "_tx"]).withColumn("need", need).withColumn("at", at).select("doc_id", "item_id", "sh", "b", F.explode(starts).alias("start"))
+    placed = hits.join(sized, "item").join(held, ["_id", "_tx"]).withColumn("need", need).withColumn("at", at).select("doc_id", "item_id", "sh", "b", F.explode(starts).alias("start"))
     placed = placed.select("doc_id", "item_id", "b", "start", F.slice("sh", F.col("start") + 1, F.size("b")).alias("a"))
     scored = placed.select("doc_id", "item_id", F.size("b").cast("long").alias("n_shingles"), F.col("start").cast("long").alias("start"), _similarity(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("first")))
