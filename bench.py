@@ -13,7 +13,7 @@ from gridloom.session import build_session  # noqa: E402
 HEADLINE = [
     "j01_nearest_palette_usage", "j01_remap_pixels", "a01_exact_histogram", "a03_frequency_palette", "a10_downsample_dominant", "a11_downsample_median",
     "w02_edge_profile", "x01_grid_candidates", "a09_sprite_bounds", "h07_tilemap_summary", "a25_seam_summary", "a32_stability_summary",
-    "s08_atlas_json", "a34_validation_summary", "m02_job_state",
+    "s08_atlas_json", "a34_validation_summary", "m02_job_state", "x17_fix_single",
 ]
 PIXELS_PER_PART = 24 * 24
 
@@ -33,7 +33,7 @@ def main() -> None:
         print(name, times[name], file=sys.stderr, flush=True)
     total = round(sum(times.values()), 3)
     pixels = parts * PIXELS_PER_PART
-    rate = {n: round(pixels / times[n] / 1e6, 2) for n in ("j01_remap_pixels", "a10_downsample_dominant", "x01_grid_candidates", "a01_exact_histogram")}
+    rate = {n: round(pixels / times[n] / 1e6, 2) for n in ("j01_remap_pixels", "a10_downsample_dominant", "x01_grid_candidates", "a01_exact_histogram", "x17_fix_single")}
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "mpixels_per_sec": rate}))
     spark.stop()
 

@@ -17,6 +17,7 @@ CORE = [
     "j01_nearest_palette_usage", "a03_frequency_palette", "a05_auto_color_count", "a10_downsample_dominant", "a15_detail_off_grid", "x01_grid_candidates", "x06_halo_removal", "x05_contrast_expansion",
     "h07_tilemap_cells", "h10_seam_repair", "i02_border_flood_fill", "s01_raster_explode", "s05_text_palette_sink", "p18_redact_documents", "j08_override_layering", "a32_stability_issues", "d06_manifest_validation",
     "s10_project_import", "m02_job_state", "m02_job_state_stream", "m01_telemetry_stream", "w05_segment_pitch", "h13_row_insert_remove", "d04_cleanup_decisions",
+    "x15_palette_resolution", "x17_fix_single", "x17_fix_sheet", "i04_matte_rings", "x02_sobel_tiles", "i09_drift_plan", "a21_checker_search", "a29_outline_candidates", "x14_grey_shell", "x16_restore",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("GRIDLOOM_ALL") else CORE
 
