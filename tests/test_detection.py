@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import background, drift, grey_shell, outline_candidates, peeling, sobel, subject
+from gridloom.operators import background, drift, foreground, grey_shell, outline_candidates, peeling, sobel, subject
 
 CLEAR, RED, GREY = (0, 0, 0, 0), (200, 30, 40, 255), (232, 236, 240, 255)
 
@@ -143,3 +143,14 @@ def test_nearest_outline_by_brute_force(raster):
     for r in grey_shell.nearest_outline(raster({1: img}).withColumn("on", F.col("r") == 20)).collect():
         near = [((x - r.x) ** 2 + (y - r.y) ** 2, y, x) for x, y in on if abs(x - r.x) <= 4 and abs(y - r.y) <= 4]
         assert (r.oy, r.ox) == (min(near)[1:] if near else (None, None))
+
+
+def test_object_before_a_gradient(raster):
+    def img(obj):
+        return [[(200, 40, 30, 255) if obj and 12 <= x < 24 and 10 <= y < 22 else (100 + 3 * x, 100 + 3 * x, 120, 255) for x in range(40)] for y in range(32)]
+
+    half = [[(30, 30, 30, 255) if x < 20 else (220, 220, 220, 255) for x in range(40)] for _ in range(32)]
+    got = {r.asset_id: r for r in foreground.foreground_evidence(raster({1: img(True), 2: img(False), 3: half})).collect()}
+    assert (got[1].gradient, got[1].single, got[1].foreground, got[1].coverage) == (True, True, 0.1125, 0.1125)
+    assert (got[2].gradient, got[2].single, got[2].foreground) == (True, False, 0.0)
+    assert not got[3].gradient and not got[3].single
