@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.rows import map_texts
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# One attribute after the other, each with its value, so that neither a value nor part of a name is taken for a name.
+_ATTR = re.compile(r"([^\s=>/][^\s=>/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _COMMA = re.compile("[,،﹐︐、，]")
 
@@ -88,7 +89,8 @@ def _unwanted(tag: str, names: str, hidden: bool, parent: Node) -> bool:
 def parse(page: str) -> Node:
     """The tree of a page without unwanted elements; text is kept raw, with references decoded."""
     root = Node("html", "", None)
-    here, skip, skip_depth, at = root, "", 0, 0
+    here, skip, at = root, "", 0
+    inner: list[str] = []  # elements open inside the one that is skipped
 
     def add(text: str) -> None:
         if text and not skip:
@@ -109,10 +111,16 @@ def parse(page: str) -> Node:
             continue
         if m[2]:
             if skip:
-                skip_depth -= tag == skip
-                if not skip_depth:
+                if tag in inner:
+                    while inner.pop() != tag:
+                        pass
+                    continue
+                if tag == skip:
                     skip = ""
-                continue
+                    continue
+                if tag not in BLOCK or not _inside(here, {tag}):
+                    continue
+                skip = ""  # the end of an element around it ends the skipped one as well
             node = here
             while node is not None and node.tag != tag and not (tag not in BLOCK and node.tag in BLOCK):
                 node = node.parent
@@ -120,9 +128,18 @@ def parse(page: str) -> Node:
                 here = node.parent
             continue
         closed = m[4].endswith("/") or tag in VOID
+        if skip and not inner and ((skip == "p" and tag in CLOSES_P) or (tag in ENDS and skip in ENDS[tag][0])):
+            skip = ""  # HTML ends the skipped element here
         if skip:
-            skip_depth += tag == skip and not closed
-            continue
+            if not closed and tag not in RAW:
+                if tag in ENDS:  # an open element of the same kind ends here, up to its own list or table
+                    last = max((i for i, t in enumerate(inner) if t in ENDS[tag][0]), default=-1)
+                    if last >= 0 and not ENDS[tag][1] & set(inner[last + 1 :]):
+                        del inner[last:]
+                inner.append(tag)
+                continue
+            if tag not in RAW:
+                continue
         if tag in RAW and not closed:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
             at = pos = end.end() if end else len(page)
@@ -147,7 +164,7 @@ def parse(page: str) -> Node:
         names, hidden = _names(m[4]) if m[4].strip("/ ") else ("", False)
         if _unwanted(tag, names, hidden, here):
             if not closed:
-                skip, skip_depth = tag, 1
+                skip, inner = tag, []
             continue
         node = Node(tag, names, here)
         here.kids.append(node)
@@ -168,8 +185,9 @@ def _walk(root: Node) -> list[Node]:
 
 
 def blocks(node: Node) -> list[str]:
-    """Texts of the blocks below ``node`` in page order, white space collapsed; lists of links are menus and left out."""
+    """Texts of the blocks below ``node`` in page order, white space collapsed; outside an article, lists of links are menus and left out."""
     out: list[str] = []
+    menus = not _inside(node, {"article", "main"})
     held: list[str] = []
 
     def flush() -> None:
@@ -187,7 +205,7 @@ def blocks(node: Node) -> list[str]:
             held.append(k)
         elif k.tag == "br":
             held.append(" ")
-        elif k is not node and k.tag in LISTS and k.linked and _density(k) > LINK_LIST:
+        elif menus and k is not node and k.tag in LISTS and k.linked and _density(k) > LINK_LIST:
             continue
         else:
             if k.tag in BLOCK:

@@ -54,3 +54,31 @@ def test_rows(spark):
     assert sorted((str(r.page_id), r.n_chars == len(r.text), r.text[:20]) for r in got) == sorted([("1", True, ""), ("2", True, ""), ("3", True, P1[:20]), ("3", True, P1[:20]), ("None", True, P1[:20])])
     assert max(r.n_chars for r in got) > 500_000
     assert H.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<div title='A hidden gem'>Real article text, with commas, and length.</div>", ["Real article text, with commas, and length."]),
+    ("<div data-role='banner' data-id=\"nav\" data-class=menu><p>Real article text, with commas.</p></div>", ["Real article text, with commas."]),
+    ("<div class=a hidden><p>Gone, of course.</p></div><div><p>Kept, of course, it is.</p></div>", ["Kept, of course, it is."]),
+    ("<article><p class='notice'>Advert<p>First real paragraph, long enough.<p>Second one.</article>", ["First real paragraph, long enough.", "Second one."]),
+    ("<article><div class='promo'>Buy<p>now</article><p>", []),
+    ("<ul><li class=ad>x<ul><li>y</ul><li>Real item text, long enough, yes</ul>", ["Real item text, long enough, yes"]),
+    ("<article><p>Body text, long and good, with commas.</p><ul><li><a href=x>Source one</a></li><li><a href=y>Source two</a></li></ul></article>", ["Body text, long and good, with commas.", "Source one", "Source two"]),
+])
+def test_markup_that_swallowed_articles(page, want):
+    assert H.main_blocks(page) == want
+
+
+def test_planted_articles_come_back_exactly():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9)))
+    sentence = lambda n: ", ".join(" ".join(word() for _ in range(rng.randint(3, 8))) for _ in range(n)).capitalize() + "."
+    for i in range(60):
+        paras = [" ".join(sentence(rng.randint(1, 3)) for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(3, 7))]
+        shown = [p.replace(" ", rng.choice([" ", "\n  "]), 3) for p in paras]
+        tag = rng.choice(["article", "main", "div class='post-content'"])
+        body = "".join(f"<p title='see the hidden menu'>{p}{rng.choice(['</p>', ''])}" for p in shown)
+        menu = "<ul>" + "".join(f"<li><a href='/{k}'>{word()}</a></li>" for k in range(6)) + "</ul>"
+        note = rng.choice(["", "<p class='notice'>We use cookies", "<aside><p>Subscribe to our letter</aside>", "<div class=share>Share <b>this</div>"])
+        page = f"<html><head><title>t</title><script>var a='<p>no</p>';</script></head><body><header>{menu}</header><nav>{menu}</nav><{tag}>{note}{body}</{tag.split()[0]}><section class='comments'><p>Nice, really nice text, I say.</p></section><footer><p>Copyright, all rights, reserved.</p></footer></body></html>"
+        assert H.main_blocks(page) == paras, i
