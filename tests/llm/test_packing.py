@@ -38,8 +38,9 @@ def test_plan_is_whole_and_gapless(counts, capacity):
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 30), min_size=1, max_size=25))
 def test_near_the_least(counts):
     """Best-fit decreasing needs at most 11/9 of the optimum and one more."""
-    large = sum(c for n, c in counts.items() if 2 * n > 60)
-    least = max(-(-sum(n * c for n, c in counts.items()) // 60), large)
+    # Lower bounds of the optimum: the sum of lengths, and that at most k pieces over 1/(k+1) fit a bin.
+    crowded = max(-(-sum(c for n, c in counts.items() if (k + 1) * n > 60) // k) for k in range(1, 6))
+    least = max(-(-sum(n * c for n, c in counts.items()) // 60), crowded)
     assert len(layout(counts, 60)) <= 1.25 * least + 2
 
 
