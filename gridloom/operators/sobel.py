@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from gridloom.operators.ordering import top_k
 from gridloom.operators.stencil import column_window, row_window
+from gridloom.session import cut_lineage
 
 # Fixed values of the voting rule.
 MAX_SCALE, TILES, TILE_SHARE, PEAK_SHARE, PEAK_GAP, MULTIPLES = 32, 24, 0.18, 0.28, 2, 4
@@ -46,8 +47,9 @@ def tile_scores(grads: DataFrame, max_scale: int = MAX_SCALE) -> DataFrame:
     d = d.where((F.col("x") < F.least(F.col("w"), (F.col("tx") + 1) * F.col("size")) - 1) & (F.col("y") < F.least(F.col("h"), (F.col("ty") + 1) * F.col("size")) - 1))
     tiles = d.groupBy("asset_id", "size", "tx", "ty").agg(F.sum(F.col("gx") + F.col("gy")).alias("score")).where("score > 0")
     ranked = top_k(tiles, ["asset_id"], [F.desc("score"), "ty", "tx"], TILES)
-    best = ranked.where("rank = 1").select("asset_id", F.col("score").alias("best"))
-    return ranked.join(best, "asset_id").where(F.col("score") >= F.col("best") * F.lit(TILE_SHARE)).select("asset_id", "size", "tx", "ty", "score", "rank")
+    # at most 24 rows an asset; a join would work the gradients out twice
+    best = F.max("score").over(W.partitionBy("asset_id"))
+    return ranked.withColumn("best", best).where(F.col("score") >= F.col("best") * F.lit(TILE_SHARE)).select("asset_id", "size", "tx", "ty", "score", "rank")
 
 
 def profiles(grads: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -57,8 +59,9 @@ def profiles(grads: DataFrame, tiles: DataFrame) -> DataFrame:
     # A tile is met by its place; an asset's pixels are dealt over its tiles.
     d = grads.join(size, "asset_id").withColumn("tx", F.floor(F.col("x") / F.col("ts"))).withColumn("ty", F.floor(F.col("y") / F.col("ts"))).join(chosen, ["asset_id", "ts", "tx", "ty"], "left_semi")
     d = d.where((F.col("x") < F.least(F.col("w"), (F.col("tx") + 1) * F.col("ts")) - 1) & (F.col("y") < F.least(F.col("h"), (F.col("ty") + 1) * F.col("ts")) - 1))
-    line = lambda axis, pos, g, n: d.groupBy("asset_id", F.lit(axis).alias("axis"), F.col(pos).alias("pos")).agg(F.sum(g).alias("energy"), F.max(n).alias("size"))
-    return line("x", "x", "gx", "w").unionByName(line("y", "y", "gy", "h")).where("energy > 0")
+    line = lambda axis, pos, g, n: F.struct(F.lit(axis).alias("axis"), F.col(pos).alias("pos"), F.col(g).alias("g"), F.col(n).alias("n"))
+    both = d.select("asset_id", F.explode(F.array(line("x", "x", "gx", "w"), line("y", "y", "gy", "h"))).alias("l"))
+    return both.groupBy("asset_id", F.col("l.axis").alias("axis"), F.col("l.pos").alias("pos")).agg(F.sum("l.g").alias("energy"), F.max("l.n").alias("size")).where("energy > 0")
 
 
 def peaks(prof: DataFrame) -> DataFrame:
@@ -91,7 +94,8 @@ def sobel_votes(px: DataFrame, max_scale: int = MAX_SCALE) -> DataFrame:
     """
     grads = gradients(px)
     sizes = px.groupBy("asset_id").agg(F.least(F.lit(max_scale), F.max("w"), F.max("h")).cast("long").alias("limit")).where("limit >= 2")
-    prof = profiles(grads, tile_scores(grads, max_scale))
+    # tiles and profiles are small and read many times: written once, or each reader repeats the gradients
+    prof = cut_lineage(profiles(grads, cut_lineage(tile_scores(grads, max_scale))))
     pk = peaks(prof)
     gap = F.col("pos") - F.lag("pos").over(W.partitionBy("asset_id", "axis").orderBy("pos"))
     near = pk.withColumn("gap", gap).where("gap >= 2").join(sizes, "asset_id").where(F.col("gap") <= F.col("limit") * 4)

@@ -33,3 +33,7 @@ def test_pixels_stay_in_place(spark, capsys, name):
     for line in plan(catalog.QUERIES[name](spark, SF), capsys).split("\n"):
         if "Exchange hashpartitioning" in line:
             assert re.search(r"hashpartitioning\(asset_id#\d+L, \d+\), REPARTITION_BY_NUM", line), line
+
+
+def test_gradients_are_worked_out_once_for_tiles(spark, capsys):
+    assert plan(catalog.QUERIES["x02_sobel_tiles"](spark, SF), capsys).count("Range (0, 96,") == 1
