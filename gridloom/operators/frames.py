@@ -25,8 +25,12 @@ def clip_frames(clips: DataFrame) -> DataFrame:
 
 
 def clip_order(frames: DataFrame, clips: DataFrame) -> DataFrame:
-    """Frames of each clip in clip order; names without a frame are skipped."""
-    return clip_frames(clips).join(frame_index(frames), ["asset_id", "name"]).select(
+    """Frames of each clip in clip order; names without a frame are skipped.
+
+    Clips hold arrays, which unfold to many times what Spark takes their files for, so this and
+    the joins on its groups are merges, never broadcasts.
+    """
+    return clip_frames(clips).join(frame_index(frames).hint("merge"), ["asset_id", "name"]).select(
         "asset_id", "clip", F.col("pos").cast("long").alias("pos"), "name", "frame_idx")
 
 
@@ -40,7 +44,7 @@ def clip_range(frames: DataFrame, clips: DataFrame) -> DataFrame:
     have = clip_order(frames, clips).groupBy("asset_id", "clip").agg(
         F.min("frame_idx").alias("lo"), F.max("frame_idx").alias("hi"), F.count(F.lit(1)).alias("n"))
     base = clips.select("asset_id", F.col("name").alias("clip"))
-    return base.join(have, ["asset_id", "clip"], "left").select(
+    return base.join(have.hint("merge"), ["asset_id", "clip"], "left").select(
         "asset_id", "clip", F.coalesce("lo", F.lit(-1)).alias("start_index"), F.coalesce("hi", F.lit(-1)).alias("end_index"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -30,7 +30,8 @@ def rank_in_chunks(df: DataFrame, keys: Sequence[str], chunk: Sequence[str], res
     inside = F.row_number().over(W.partitionBy(*keys, *chunk).orderBy(*rest))
     return (
         df.withColumn("__in", inside)
-        .join(before, on[0] if len(on) == 1 else _all(on))
+        # rows lie by chunk already; a broadcast would take every chunk through the driver
+        .join(before.hint("merge"), on[0] if len(on) == 1 else _all(on))
         .withColumn(name, (F.col("__before") + F.col("__in")).cast("long"))
         .drop("__before", "__in", *[f"__k_{c}" for c in keys + chunk])
     )

@@ -78,9 +78,9 @@ def _tag_direction(d: Column) -> Column:
 
 def frame_tags(frames: DataFrame, clips: DataFrame) -> DataFrame:
     """Tag spans of clips (``hold`` keeps its first frame) with contiguity warnings."""
-    span = clip_range(frames, clips).join(clips.select("asset_id", F.col("name").alias("clip"), "direction"), ["asset_id", "clip"])
+    span = clip_range(frames, clips).join(clips.select("asset_id", F.col("name").alias("clip"), "direction").hint("merge"), ["asset_id", "clip"])
     steps = clip_order(frames, clips).groupBy("asset_id", "clip").agg(F.count_if(F.col("frame_idx") - F.col("pos") != 0).alias("__x"), F.min(F.col("frame_idx") - F.col("pos")).alias("a"), F.max(F.col("frame_idx") - F.col("pos")).alias("b"))
-    j = span.join(steps.drop("__x"), ["asset_id", "clip"], "left")
+    j = span.join(steps.drop("__x").hint("merge"), ["asset_id", "clip"], "left")
     hold = F.col("direction") == "hold"
     warn = F.when(F.col("n") == 0, "empty-animation").when(
         (F.col("n") != F.col("end_index") - F.col("start_index") + 1) | (F.col("a") != F.col("b")), "non-contiguous-animation").otherwise("")

@@ -37,3 +37,8 @@ def test_pixels_stay_in_place(spark, capsys, name):
 
 def test_gradients_are_worked_out_once_for_tiles(spark, capsys):
     assert plan(catalog.QUERIES["x02_sobel_tiles"](spark, SF), capsys).count("Range (0, 96,") == 1
+
+
+def test_clips_stay_off_the_driver(spark, capsys):
+    """The files of orders are small, their unfolded clips are not."""
+    assert "Broadcast" not in plan(catalog.QUERIES["s11_frame_tags"](spark, SF), capsys)
