@@ -42,3 +42,24 @@ def test_gradients_are_worked_out_once_for_tiles(spark, capsys):
 def test_clips_stay_off_the_driver(spark, capsys):
     """The files of orders are small, their unfolded clips are not."""
     assert "Broadcast" not in plan(catalog.QUERIES["s11_frame_tags"](spark, SF), capsys)
+
+
+@pytest.mark.parametrize("name", ["h01_sheet_layout", "h06_layout_confidence", "h06_row_confidence", "h01_layout_frames"])
+def test_sheet_lines_stay_off_the_driver(spark, monkeypatch, name):
+    """Lines of bands and rows of sheets were sent through the driver when their number was not known yet."""
+    from gridloom import session
+    from gridloom.operators import sheets
+
+    plans = []
+
+    def cut(df):
+        done = session.cut_lineage(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return done
+
+    monkeypatch.setattr(sheets, "cut_lineage", cut)
+    df = catalog.QUERIES[name](spark, SF)
+    df.collect()
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 1
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
