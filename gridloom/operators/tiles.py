@@ -135,12 +135,12 @@ def repair_seams(px: DataFrame, tile: int, mismatch: float = 0.08) -> DataFrame:
     todo = stats.filter(mild("edge_delta", mismatch) | mild("light_delta", LIGHTING)).select(*EDGE)
     out = px
     for edge in ("right-left", "bottom-top"):
-        pairs = edge_pairs(out, tile).filter(F.col("edge") == edge).join(todo, EDGE, "left_semi")
+        pairs = edge_pairs(out, tile).filter(F.col("edge") == edge).join(todo.hint("merge"), EDGE, "left_semi")
         low = F.min(F.least("p.a", "q.a")).over(W.partitionBy(*EDGE))
         pairs = pairs.withColumn("low", low).filter("low >= 16")
         mean = F.struct(*[C.rnd((F.col(f"p.{c}") + F.col(f"q.{c}")) / 2.0).alias(c) for c in "rgba"])
         fix = pairs.withColumn("m", mean).select("asset_id", "m", F.explode(F.array("p.idx", "q.idx")).alias("idx"))
-        out = out.join(fix, ["asset_id", "idx"], "left").select(
+        out = out.join(fix.hint("merge"), ["asset_id", "idx"], "left").select(
             *[F.coalesce(f"m.{c}", c).alias(c) if c in "rgba" else F.col(c) for c in px.columns])
     return out
 
