@@ -200,7 +200,7 @@ def u03(spark, d):
     act = H.frequency_palette(H.histogram(px), 8).select("asset_id", C.five_bit(F.col("color")).alias("c")).distinct().withColumn("hit", F.lit(1))
     c5 = C.five_bit(C.pack(F.col("r"), F.col("g"), F.col("b")))
     bands = px.filter("a >= 16").select("asset_id", F.floor(F.col("y") / 8).alias("band"), c5.alias("c")).distinct()
-    return bands.join(act, ["asset_id", "c"], "left").groupBy("asset_id", "band").agg(
+    return bands.join(act.hint("merge"), ["asset_id", "c"], "left").groupBy("asset_id", "band").agg(
         F.count("hit").alias("shared"), F.count_if(F.col("hit").isNull()).alias("outside"))
 
 

@@ -52,7 +52,7 @@ def frequency_palette(hist: DataFrame, n: int, assets: DataFrame | None = None,
     size = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("__d"))
     key = F.when(F.col("__d") <= n, F.col("color")).otherwise(C.five_bit(F.col("color")))
     merged = (
-        hist.join(size, list(keys)).groupBy(*keys, key.alias("color"))
+        hist.join(size.hint("merge"), list(keys)).groupBy(*keys, key.alias("color"))
         .agg(F.sum("n").alias("n"), F.min("first_idx").alias("first_idx"))
     )
     pal = top_k(merged, keys, [F.desc("n"), F.asc("first_idx")], n, "pos").withColumn("pos", F.col("pos") - 1)
