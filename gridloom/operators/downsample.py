@@ -70,17 +70,31 @@ def dominant(cc: DataFrame) -> DataFrame:
         (F.col("visible") / F.col("total")).alias("visible_coverage"))
 
 
+def _middle(entries: Column, channel: str) -> Column:
+    """Median of ``channel`` over ``entries`` weighted by ``n``; halfway between the two middle values."""
+    e = lambda i: F.get(entries, F.lit(i))
+    two = F.when(e(0)["n"] > e(1)["n"], e(0)[channel]).when(e(0)["n"] < e(1)["n"], e(1)[channel])
+    half = F.aggregate(entries, F.lit(0).cast("long"), lambda s, q: s + q["n"])
+    low, high = F.floor((half - 1) / 2), F.floor(half / 2)
+    sums = F.aggregate(F.array_sort(F.transform(entries, lambda q: F.struct(q[channel].alias("v"), q["n"].alias("n")))),
+                       F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("mid")),
+                       lambda s, q: F.struct((s["run"] + q["n"]).alias("run"), (
+                           s["mid"] + F.when((s["run"] <= low) & (low < s["run"] + q["n"]), q["v"]).otherwise(0)
+                           + F.when((s["run"] <= high) & (high < s["run"] + q["n"]), q["v"]).otherwise(0)).alias("mid")))["mid"]
+    some = F.when(F.size(entries) == 1, e(0)[channel] * 2).when(F.size(entries) == 2, F.coalesce(two * 2, e(0)[channel] + e(1)[channel])).otherwise(sums)
+    return some / F.lit(2.0)
+
+
 def median(cc: DataFrame) -> DataFrame:
-    """Per-channel median of visible pixels (all pixels if none is visible), weighted by count."""
-    seen = F.col("a") >= 16
-    med = lambda c, w: F.percentile(F.col(c), F.lit(0.5), w)
-    vis_n = F.when(seen, F.col("n")).otherwise(0)
-    agg = cc.groupBy(*CELL).agg(
-        F.sum(vis_n).alias("visible"), med("a", F.col("n")).alias("ma"),
-        *[med(c, F.col("n")).alias(f"all_{c}") for c in RGB],
-        *[F.percentile(F.when(seen, F.col(c)), F.lit(0.5), F.col("n")).alias(f"vis_{c}") for c in RGB])
-    pick = lambda c: C.rnd(F.when(F.col("visible") > 0, F.col(f"vis_{c}")).otherwise(F.col(f"all_{c}")))
-    return agg.select(*CELL, *_out(pick("r"), pick("g"), pick("b"), C.rnd(F.col("ma"))))
+    """Per-channel median of visible pixels (all pixels if none is visible), weighted by count.
+
+    A cell's colours are one short array, gathered once for all channels; one or two colours
+    need no sort, whatever their counts.
+    """
+    entry = F.struct("r", "g", "b", "a", "n")
+    agg = cc.groupBy(*CELL).agg(F.collect_list(entry).alias("all"), F.collect_list(F.when(F.col("a") >= 16, entry)).alias("vis"))
+    agg = agg.withColumn("vis", F.when(F.size("vis") > 0, F.col("vis")).otherwise(F.col("all")))
+    return agg.select(*CELL, *_out(*[C.rnd(_middle(F.col("vis"), c)) for c in RGB], C.rnd(_middle(F.col("all"), "a"))))
 
 
 def adaptive(cc: DataFrame, coverage: float = 0.6) -> DataFrame:
