@@ -38,11 +38,13 @@ _U = np.uint64
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id, at least 1."""
-    w = np.ones(len(ids), np.int64)
+    if ids.max() < 1 << 53:  # exact as doubles
+        return np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.uint8)
+    w = np.ones(len(ids), np.uint8)
     left = ids.copy()
     for step in (32, 16, 8, 4, 2, 1):
         big = left >= _U(1 << step)
-        w += big * step
+        w += big.astype(np.uint8) * np.uint8(step)
         left = np.where(big, left >> _U(step), left)
     return w
 
@@ -58,22 +60,31 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, _U), np.zeros(0, np.int64)
     width = _widths(ids)
-    ends = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
-    room = ends - np.arange(n)
+    place = np.arange(n)
+    ends = np.minimum((place // BLOCK + 1) * BLOCK, n)
+    room = ends - place
     change = np.concatenate((ids[1:] != ids[:-1], [True]))
     stops = np.flatnonzero(change) + 1
-    run = np.minimum(stops[np.searchsorted(stops, np.arange(n), side="right")] - np.arange(n), room)
+    run = np.minimum(np.repeat(stops, np.diff(stops, prepend=0)) - place, room)
     run = np.minimum(run, (1 << RUN_BITS) - 1)
-    choice = np.full(n, ESCAPE, np.int64)
-    take = np.ones(n, np.int64)
+    # Blocks as rows, with places of no width behind them: a window never sees the next block.
+    blocks = -(-n // BLOCK)
+    held = np.zeros((blocks, BLOCK + PACKS[0][0]), np.uint8)
+    held[:, :BLOCK] = np.concatenate((width, np.zeros(blocks * BLOCK - n, np.uint8))).reshape(blocks, BLOCK)
+    widest = {1: held}
+    for p in (2, 4, 8, 16, 32):
+        half = widest[p // 2]
+        widest[p] = half.copy()
+        np.maximum(half[:, : -(p // 2)], half[:, p // 2 :], out=widest[p][:, : -(p // 2)])
+    pick = np.full((blocks, BLOCK), ESCAPE, np.uint8)
     for sel in range(len(PACKS) - 1, -1, -1):  # the largest count wins, so it is written last
         count, bits = PACKS[sel]
-        over = np.concatenate(([0], np.cumsum(width > bits)))
-        stop = np.minimum(np.arange(n) + count, ends)
+        p = 1 << (count.bit_length() - 1)
         # The last word of a block may be short: its free places stay zero.
-        fits = over[stop] == over[:n]
-        choice[fits] = sel
-        take[fits] = (stop - np.arange(n))[fits]
+        most = np.maximum(widest[p][:, :BLOCK], widest[p][:, count - p : count - p + BLOCK])
+        np.copyto(pick, np.uint8(sel), where=most <= bits)
+    choice = pick.ravel()[:n].astype(np.int64)
+    take = np.minimum(np.array([c for c, _ in PACKS] + [1, 1], np.int64)[choice], room)
     runs = (run >= RUN_LEAST) & (run > take) & (width <= 60 - RUN_BITS)
     choice[runs], take[runs] = RUN, run[runs]
     at = np.arange(0, n, BLOCK)
@@ -89,13 +100,15 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.where(sel == ESCAPE, 2, 1)
     offset = np.concatenate(([0], np.cumsum(size)))
     words = np.zeros(offset[-1], _U)
+    padded = np.concatenate((ids, np.zeros(PACKS[0][0], _U)))
     for s, (count, bits) in enumerate(PACKS):
         rows = np.flatnonzero(sel == s)
         if len(rows):
-            take_at = place[rows][:, None] + np.arange(count)
-            inside = np.arange(count) < cnt[rows][:, None]
-            part = np.where(inside, ids[np.minimum(take_at, n - 1)], _U(0))
-            words[offset[rows]] = (part << (np.arange(count, dtype=_U) * _U(bits))).sum(axis=1, dtype=_U) | _U(s << 60)
+            take_at, payload = place[rows], np.zeros(len(rows), _U)
+            for j in range(count):
+                payload |= padded[take_at + j] << _U(j * bits)
+            # What follows a short word's own ids is cut off.
+            words[offset[rows]] = (payload & ((_U(1) << (cnt[rows] * bits).astype(_U)) - _U(1))) | _U(s << 60)
     rows = np.flatnonzero(sel == RUN)
     words[offset[rows]] = (cnt[rows].astype(_U) << _U(60 - RUN_BITS)) | ids[place[rows]] | _U(RUN << 60)
     rows = np.flatnonzero(sel == ESCAPE)
@@ -129,6 +142,11 @@ def decode(words: np.ndarray, n: int, blocks: np.ndarray) -> np.ndarray:
     for s, (count, bits) in enumerate(PACKS):
         rows = np.flatnonzero(head & (sel == s))
         if len(rows):
+            full = stop[rows] - start[rows] >= count
+            take, first = payload[rows[full]], start[rows[full]]
+            for j in range(count):
+                out[first + j] = (take >> _U(j * bits)) & _U((1 << bits) - 1)
+            rows = rows[~full]  # the last words of blocks
             part = (payload[rows][:, None] >> (np.arange(count, dtype=_U) * _U(bits))) & _U((1 << bits) - 1)
             place = start[rows][:, None] + np.arange(count)
             inside = place < stop[rows][:, None]
@@ -140,13 +158,13 @@ def decode(words: np.ndarray, n: int, blocks: np.ndarray) -> np.ndarray:
     return out
 
 
-def write_chunk(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
-    """One chunk of whole documents: header, directory, block offsets, words."""
-    ids = np.concatenate([i for _, i in docs]) if docs else np.zeros(0, _U)
+def write_chunk(docs: list[tuple[int | None, bytes]]) -> bytes:
+    """One chunk of whole documents (ids packed as little-endian unsigned 32-bit integers): header, directory, block offsets, words."""
+    ids = np.frombuffer(b"".join(i for _, i in docs), "<u4").astype(_U)
     words, blocks = encode(ids)
     known = np.array([d is not None for d, _ in docs], np.uint8)
     names = np.array([d or 0 for d, _ in docs], "<i8")
-    sizes = np.array([len(i) for _, i in docs], "<u8")
+    sizes = np.array([len(i) // 4 for _, i in docs], "<u8")
     return b"".join((MAGIC, struct.pack("<QQQ", len(docs), len(ids), len(words)), known.tobytes(), names.tobytes(), sizes.tobytes(), blocks.astype("<u8").tobytes(), words.astype("<u8").tobytes()))
 
 
@@ -184,7 +202,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, chunk
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, held, size, seq, before, shard = encoder(tokenizer), [], 0, 0, 0, 0
-        end = np.array([end_id], _U)
+        end = end_id.to_bytes(4, "little")
 
         def close() -> pa.RecordBatch:
             nonlocal held, size, seq, before
@@ -194,9 +212,9 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, chunk
 
         for batch in batches:
             for doc, text, shard in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.concatenate((np.frombuffer(enc.pack(text or ""), "<u4").astype(_U), end))
+                ids = enc.pack(text or "") + end
                 held.append((doc, ids))
-                size += len(ids)
+                size += len(ids) // 4
                 if size >= chunk_ids:
                     yield close()
         if held:

@@ -65,3 +65,20 @@ def test_files(spark, odd_docs, no_docs, tmp_path):
     many = [(i, f"w{i} " * (i % 7)) for i in range(300)]
     S.write_files(spark.createDataFrame(many, "doc_id long, text string").repartition(5), path, 2, str(tmp_path / "f"), chunk_ids=40)
     check(many, S.read_files(spark, str(tmp_path / "f")).orderBy("doc_id").collect(), encoder(path).tokenizer)
+
+
+def test_words_between_spaces_are_looked_up_whole():
+    """One entry for a word with its signs; blanks beside a space are cut by the pattern; both as the library does."""
+    enc = encoder(public_path("byte_bpe_50k.json"))
+    for text in ["one word, two words. \"three\"", " lead", "trail ", "a \n b", "a\n b", "x\ty\nz it's 12a", "мир, año; naïve, 日本 ok", "tab\t end", "wide  sp", "don't can't", "a", " "]:
+        assert np.frombuffer(enc.pack(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert "word," in enc.words and "" not in enc.words and not any(w[0].isspace() or w[-1].isspace() for w in enc.words)
+
+
+def test_a_short_word_ends_at_its_block():
+    """Widths rise right behind a block's end: the block's last word must not hold bits of the next block."""
+    for tail in (1, 3, 59):
+        ids = np.concatenate((np.ones(S.BLOCK - tail, np.uint64) * np.uint64(40_000), np.ones(tail, np.uint64), np.full(S.BLOCK, 2**59, np.uint64)))
+        words, blocks = S.encode(ids)
+        assert (S.decode(words, len(ids), blocks) == ids).all()
+        assert len(words[blocks[0] : blocks[1]]) == len(S.encode(ids[: S.BLOCK])[0])
