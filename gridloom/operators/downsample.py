@@ -7,6 +7,8 @@ the pixel rows are aggregated once before any shuffle.  Cells are small and keye
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -39,13 +41,13 @@ def cell_colors(cells: DataFrame) -> DataFrame:
         F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
 
 
-def _buckets(cc: DataFrame, bucket: Column) -> DataFrame:
+def _buckets(cc: DataFrame, bucket: Column, more: Sequence[Column] = ()) -> DataFrame:
     """(cell, bucket) rows; fully transparent colours share bucket -1."""
     b = F.when(F.col("a") >= 16, bucket).otherwise(F.lit(-1).cast("long"))
     return cc.groupBy(*CELL, "scale", b.alias("bucket")).agg(
         F.sum("n").alias("n"), *[F.sum(F.col(c) * F.col("n")).alias(f"s{c}") for c in (*RGB, "a")],
         F.min("first_idx").alias("first_idx"), F.max("last_idx").alias("last_idx"),
-        F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"))
+        F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"), *more)
 
 
 def _out(r: Column, g: Column, b: Column, a: Column) -> list[Column]:
@@ -55,19 +57,37 @@ def _out(r: Column, g: Column, b: Column, a: Column) -> list[Column]:
 def dominant(cc: DataFrame) -> DataFrame:
     """Mean colour of the fullest 15-bit bucket.  Equal counts go to the bucket that reached
     the count first, i.e. whose last pixel comes first."""
-    bk = _buckets(cc, C.bucket15(F.col("r"), F.col("g"), F.col("b")))
+    return _dominant(cc)
+
+
+def _dominant(cc: DataFrame, entries: bool = False) -> DataFrame:
+    """As ``dominant``; with ``entries``, also the cell's colours as ``_entries`` gathers them."""
+    lists = ["all", "vis"] if entries else []
+    bk = _buckets(cc, C.bucket15(F.col("r"), F.col("g"), F.col("b")), _entries() if entries else [])
     seen = F.col("bucket") >= 0
     best = F.max_by(F.struct("n", "sr", "sg", "sb"), F.when(seen, F.struct("n", -F.col("last_idx"))))
     cell = bk.groupBy(*CELL).agg(
         F.sum("n").alias("total"), F.sum("sa").alias("sa"), F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("visible"),
-        best.alias("best"), F.max(F.when(~seen, F.struct("n", "sr", "sg", "sb"))).alias("clear"))
+        best.alias("best"), F.max(F.when(~seen, F.struct("n", "sr", "sg", "sb"))).alias("clear"), *[F.flatten(F.collect_list(c)).alias(c) for c in lists])
     src = F.when(F.col("visible") > 0, F.col("best")).otherwise(F.col("clear"))
     cell = cell.withColumn("src", src)
     mean = lambda c: C.rnd(F.col(f"src.s{c}") / F.col("src.n"))
     return cell.select(
         *CELL, *_out(mean("r"), mean("g"), mean("b"), C.rnd(F.col("sa") / F.col("total"))),
         F.when(F.col("visible") > 0, F.col("best.n") / F.col("total")).otherwise(F.lit(0.0)).alias("coverage"),
-        (F.col("visible") / F.col("total")).alias("visible_coverage"))
+        (F.col("visible") / F.col("total")).alias("visible_coverage"), *lists)
+
+
+def _entries() -> list[Column]:
+    """Colours of a group and their counts: all of them, and the visible ones."""
+    entry = F.struct("r", "g", "b", "a", "n")
+    return [F.collect_list(entry).alias("all"), F.collect_list(F.when(F.col("a") >= 16, entry)).alias("vis")]
+
+
+def _medians() -> list[Column]:
+    """Median of each channel from ``all`` and ``vis``."""
+    vis = F.when(F.size("vis") > 0, F.col("vis")).otherwise(F.col("all"))
+    return [*[C.rnd(_middle(vis, c)) for c in RGB], C.rnd(_middle(F.col("all"), "a"))]
 
 
 def _middle(entries: Column, channel: str) -> Column:
@@ -91,17 +111,14 @@ def median(cc: DataFrame) -> DataFrame:
     A cell's colours are one short array, gathered once for all channels; one or two colours
     need no sort, whatever their counts.
     """
-    entry = F.struct("r", "g", "b", "a", "n")
-    agg = cc.groupBy(*CELL).agg(F.collect_list(entry).alias("all"), F.collect_list(F.when(F.col("a") >= 16, entry)).alias("vis"))
-    agg = agg.withColumn("vis", F.when(F.size("vis") > 0, F.col("vis")).otherwise(F.col("all")))
-    return agg.select(*CELL, *_out(*[C.rnd(_middle(F.col("vis"), c)) for c in RGB], C.rnd(_middle(F.col("all"), "a"))))
+    agg = cc.groupBy(*CELL).agg(*_entries())
+    return agg.select(*CELL, *_out(*_medians()))
 
 
 def adaptive(cc: DataFrame, coverage: float = 0.6) -> DataFrame:
-    dom, med = dominant(cc), median(cc)
-    j = dom.join(med.select(*CELL, *[F.col(c).alias(f"m{c}") for c in "rgba"]), CELL)
+    """Dominant colour where it covers enough of the cell, else the median, from one pass over the colours."""
     use = F.col("coverage") >= coverage
-    return j.select(*CELL, *[F.when(use, F.col(c)).otherwise(F.col(f"m{c}")).alias(c) for c in "rgba"])
+    return _dominant(cc, entries=True).select(*CELL, *_out(*[F.when(use, F.col(c)).otherwise(m) for c, m in zip("rgba", _medians())]))
 
 
 def average(cc: DataFrame) -> DataFrame:

@@ -67,3 +67,12 @@ def test_no_table_that_grows_goes_through_the_driver(spark, monkeypatch, module,
     df.collect()
     plans.append(df._jdf.queryExecution().executedPlan().toString())
     assert not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_adaptive_cells_meet_without_a_join(spark, capsys):
+    """Dominant and median colours of a cell came from two passes whose cells were shuffled to meet."""
+    text = plan(catalog.QUERIES["a12_downsample_adaptive"](spark, SF), capsys)
+    assert "SortMergeJoin" not in text and "HashJoin" not in text
+    for line in text.split("\n"):
+        if "Exchange hashpartitioning" in line:
+            assert re.search(r"hashpartitioning\(asset_id#\d+L, \d+\), REPARTITION_BY_NUM", line), line
