@@ -84,22 +84,33 @@ def clean_clip_name(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(c), r"\s+", "_"), "[^a-zA-Z0-9_-]", "")
 
 
+#: Rows of one partition of a join of frames, about.
+PART_ROWS = 1 << 17
+
+
+def _parts(rows: DataFrame) -> int:
+    """Partitions for a join of ``rows``: the usual number, and more once a task would hold too many rows."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
+
+
 def rename_clips(clips: DataFrame, renames: DataFrame) -> DataFrame:
     """``clips(asset_id, clip, pos, name)`` with ``renames(asset_id, clip, to)``.
 
     The new name is cleaned and made unique in its asset by a numeric suffix; frame names
     carrying the clip prefix follow.  An asset gets one rename per batch.
     """
-    taken = clips.select("asset_id", "clip").distinct()
+    n = _parts(clips)
+    taken = clips.select("asset_id", "clip").repartition(n, "asset_id").distinct()
     want = renames.withColumn("base", F.coalesce(F.nullif(clean_clip_name(F.col("to")), F.lit("")), F.col("clip")))
     other = taken.select("asset_id", F.col("clip").alias("o")).join(want, "asset_id").filter(F.col("o") != F.col("clip"))
     stem = other.filter((F.col("o") == F.col("base")) | F.col("o").startswith(F.concat("base", F.lit("_"))))
     num = F.when(F.col("o") == F.col("base"), 1).otherwise(F.expr("try_cast(substring(o, length(base) + 2) AS BIGINT)"))
     used = stem.groupBy("asset_id", "clip").agg(F.collect_set(num).alias("used"))
     free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("used") + 1).cast("array<bigint>"), F.col("used")))
-    m = want.join(used, ["asset_id", "clip"], "left").withColumn("n", F.when(F.col("used").isNull(), 1).otherwise(free))
+    by_clip = lambda df: df.repartition(n, "asset_id", "clip")
+    m = by_clip(want).join(by_clip(used), ["asset_id", "clip"], "left").withColumn("n", F.when(F.col("used").isNull(), 1).otherwise(free))
     m = m.select("asset_id", "clip", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string"))).alias("new"))
-    j = clips.join(m, ["asset_id", "clip"], "left")
+    j = by_clip(clips).join(m, ["asset_id", "clip"], "left")
     pre = F.concat("clip", F.lit("_"))
     frame = F.when(F.col("name").startswith(pre), F.concat("new", F.lit("_"), F.expr("substring(name, length(clip) + 2)"))).otherwise(F.format_string("%s_%03d", "new", "pos"))
     return j.select("asset_id", F.coalesce("new", "clip").alias("clip"), "pos", F.when(F.col("new").isNotNull(), frame).otherwise(F.col("name")).alias("name"), F.col("name").alias("old_name"))
@@ -107,7 +118,9 @@ def rename_clips(clips: DataFrame, renames: DataFrame) -> DataFrame:
 
 def rename_keys(overrides: DataFrame, mapping: DataFrame) -> DataFrame:
     """Follow frame renames in an override table keyed by frame name."""
-    m = mapping.select("asset_id", "old_name", F.col("name").alias("new")).distinct()
+    n = _parts(overrides)
+    overrides = overrides.repartition(n, "asset_id", "name")
+    m = mapping.select("asset_id", "old_name", F.col("name").alias("new")).repartition(n, "asset_id", "old_name").distinct()
     return overrides.join(m, (overrides["asset_id"] == m["asset_id"]) & (overrides["name"] == m["old_name"]), "left").select(
         overrides["asset_id"], F.coalesce(m["new"], overrides["name"]).alias("name"), "pivot_x", "pivot_y")
 

@@ -76,3 +76,13 @@ def test_adaptive_cells_meet_without_a_join(spark, capsys):
     for line in text.split("\n"):
         if "Exchange hashpartitioning" in line:
             assert re.search(r"hashpartitioning\(asset_id#\d+L, \d+\), REPARTITION_BY_NUM", line), line
+
+
+def test_renames_are_dealt_by_rows(spark, monkeypatch):
+    """A join of frames had the usual number of partitions, so a task's rows grew with the orders."""
+    from gridloom.operators import frame_edits
+
+    monkeypatch.setattr(frame_edits, "PART_ROWS", 256, raising=False)
+    out = catalog.QUERIES["h14_rename_override_keys"](spark, SF)
+    rows = out.count()
+    assert rows > 256 * 8 and out.rdd.getNumPartitions() >= rows // 256
