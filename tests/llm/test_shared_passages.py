@@ -36,3 +36,10 @@ def test_a_batch_becomes_strings_slice_by_slice(spark):
     rows = spark.createDataFrame([(i, None if i % 3 == 0 else " ".join(map(str, range(i)))) for i in range(50)], "doc_id long, text string")
     out = map_texts(rows, P._Sketch(1), "row long, n long, h1 long, h2 long, cells binary").collect()
     assert sorted((r.row, r.n) for r in out) == [(i, 0 if i % 3 == 0 else i) for i in range(50)]
+
+
+def test_fewer_signatures_than_shingles():
+    """At 0.8 a set of 390 shingles had 363 signatures, and their table filled the disk of the pipeline's third stage."""
+    el = np.sort(np.random.default_rng(1).integers(0, 2**63, 390, dtype=np.uint64))
+    sig, role = P.signatures(el, P.Scheme(80, 100))
+    assert len(sig) == 79 and (role == P.STRONG).sum() == 44
